@@ -29,3 +29,24 @@ def skew_join(big: DataFrame, unique: DataFrame, keys: list[str], weight: str |
         .select(*columns)
         .unionByName(big_rest.join(unique, keys, how).select(*columns))
     )
+
+
+#: Rows of a key from which salted_join splits it.
+SPLIT_ROWS = 100_000
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Inner join where both sides may have many rows a key.
+
+    Keys with more than split_rows rows of big (the HEAVY largest of them, the only ones that can hold more than
+    1/HEAVY of all) are split by the hash of big's rows into parts of about that size; small's rows of such a key go to
+    each part. The other keys are joined as they are. Null keys match nothing.
+    """
+    counts = big.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > split_rows)
+    heavy = F.broadcast(
+        counts.orderBy(F.desc("__n"), *keys).limit(HEAVY).select(*keys, F.ceil(F.col("__n") / split_rows).cast("int").alias("__parts"))
+    )
+    parts = F.coalesce("__parts", F.lit(1))
+    left = big.join(heavy, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*big.columns), parts).cast("int")).drop("__parts")
+    right = small.join(heavy, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
