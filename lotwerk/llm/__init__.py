@@ -1,0 +1 @@
+"""Operators on training text and matched records; nothing outside this subpackage imports it."""

@@ -1 +1,7 @@
-QUERIES={};SQL={}
+"""The subpackage's queries and their SQL."""
+
+from lotwerk.llm import components, setjoin
+
+_ALL = [setjoin, components]
+QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _ALL for k, s in m.SQL.items()}
