@@ -19,7 +19,7 @@ SEEN, SENTENCE_SHARE = 5, 0.1
 CUT_MARK = r"(?:</?[A-Za-z][^<>]{0,40}>|…|\.{3,}|\[\s?(?:…|\.{3})\s?\]|\(\s?(?:…|\.{3}|mehr|weiter|suite|more|continua|segue)\s?\))"
 CLOSING = r"(?i)(?:\([^()]{1,40}\)|(?:^|[.!?»)]\s+)(?:ende|schluss|fin|fine|end|usw|etc))$"
 ABBREVIATION = r"(?:^|[\s(])(?:Art|Abs|Ziff|lit|Nr|Fr|CHF|vgl|bzw|ca|z|z\.\s?B|d|d\.\s?h|p|p\.\s?ex|ch|no|al|let|n|cpv|cfr|cf|e\.g|i\.e)\.$"
-OPEN_DATE = r"(?:^|\s)(?:\d{1,2}\.\d{1,2}\.|(?:am|dem|vom|zum|den|le|il|dal)\s\d{1,2}\.)$"
+OPEN_DATE = r"(?:^|\s)(?:(?:0?[1-9]|[12]\d|3[01])\.(?:0?[1-9]|1[0-2])\.|(?:am|dem|vom|zum|den|le|il|dal)\s\d{1,2}\.)$"
 TERMINAL = r"[.!?][\"'»”“’)\]]*$|[\w,;]\s?[»”]$"
 NOTE_LINE = r"^\s*(?:[-•*–—»>]|\[[ xX]?\]|\d+\)\s|[a-z]\)\s|\||[-=_*]{3,}$)|^\s*[A-ZÄÖÜÉÈÀ][\w.\- ]{0,30}:\s|\|\s*$|^\s*(?:Seite|Page|Pagina) \d|^\s*Tel\."
 DATE_LINE = r"^[^.!?]{1,40}\d{1,2}\.\d{1,2}\.\d{4}$"
@@ -83,7 +83,8 @@ def judged(documents: DataFrame) -> DataFrame:
     block = (F.col("before_len").between(1, 30)) & (F.col("last_len") <= 40) & ~F.col("before").rlike(TERMINAL) & (F.trim("before") != "")
     opens_notes = (F.col("seen") >= SEEN) & (F.col("full") <= SENTENCE_SHARE * F.col("seen"))
     dated = F.col("last").rlike(DATE_LINE) & (F.coalesce("full", F.lit(0)) == 0)
-    note = F.col("last").rlike(NOTE_LINE) | block | (opens_notes & (F.col("word") != "")) | dated | F.col("last").rlike(CLOSING)
+    several = F.col("last").rlike(r"[.!?][\"'»”)]*\s+\p{Lu}") & ~F.col("last").startswith("|")
+    note = (F.col("last").rlike(NOTE_LINE) | block | (opens_notes & (F.col("word") != "")) | dated) & ~several | F.col("last").rlike(CLOSING)
     spike = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
     return ended_rows.unionByName(open_.select("doc_id", "source", (F.col("marked") | spike & ~F.col("last").rlike(CLOSING) | ~note).alias("cut")))
 
