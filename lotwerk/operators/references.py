@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwerk.operators.skew import skew_join
+from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
 #: Ids of a block; runs end at block borders, so no window holds more than 2 * 2**BLOCK_BITS rows.
 BLOCK_BITS = 12
+#: Faulty targets up to which they are broadcast; a row takes about 60 bytes.
+MAX_SENT = 200_000
+#: Arrivals beyond it (the year 2112, in microseconds) are alike when the last row of a record is chosen.
+LATEST = 1 << 52
 
 
 def key_runs(parents: DataFrame) -> DataFrame:
@@ -44,41 +49,49 @@ def faulty_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     """Every record of references whose target is missing, deleted or arrived later.
 
     references(tabelle, satz, ziel_tabelle, ziel_id, ankunft): raw rows; a record (tabelle, satz) may come several
-    times. Its arrival is the earliest, its reference that of the row that arrived last (ties: the greater target).
+    times. Its arrival is the earliest, its reference that of the row that arrived last (ties by hash).
     targets(ziel_tabelle, id, ankunft, geloescht): raw rows; an id's arrival is the earliest, and it is deleted if any
     row says so. Returns (tabelle, satz, ziel_id, art, periode).
 
     Records are condensed to distinct targets before anything else; those are matched as of the run index, and only
     targets in a run with a deletion or a late arrival are looked up singly. The records then take the verdict of
-    their target, with the heaviest targets broadcast.
+    their target: by broadcast when the faulty targets are MAX_SENT at most, else with only the heaviest broadcast.
 
     Null reference: no row. Null target table or one without rows: fehlt. Null arrivals: never verspaetet, periode null
     when the record has none. Rows with a null key count as one record. Empty targets: every reference is fehlt.
     """
-    newest = F.max(F.struct(F.coalesce("ankunft", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), F.col("ziel_id"), F.col("ziel_tabelle")))
-    records = (
-        references.groupBy("tabelle", "satz")
-        .agg(F.min("ankunft").alias("ankunft"), newest.alias("last"))
-        .select("tabelle", "satz", "ankunft", F.coalesce("last.ziel_tabelle", F.lit("")).alias("space"), F.col("last.ziel_id").alias("id"))
+    # fixed-width state only, so that the records are condensed by hashing without a sort
+    space = F.coalesce(F.xxhash64("ziel_tabelle"), F.lit(0))
+    micros = F.coalesce(F.unix_micros(F.col("ankunft").cast("timestamp")), F.lit(-LATEST))
+    at = F.greatest(F.least(micros, F.lit(LATEST)), F.lit(-LATEST)) * 1024 + F.pmod(F.xxhash64("ziel_id", "ziel_tabelle"), F.lit(1024))
+    records = cut(
+        references.select("tabelle", "satz", space.alias("space"), F.col("ziel_id").alias("id"), "ankunft", at.alias("at"))
+        .groupBy("tabelle", "satz")
+        .agg(F.min("ankunft").alias("ankunft"), F.max_by("id", "at").alias("id"), F.max_by("space", "at").alias("space"))
         .filter("id is not null")
     )
     known = (
         targets.filter("id is not null")
-        .groupBy(F.col("ziel_tabelle").alias("space"), "id")
+        .groupBy(F.xxhash64("ziel_tabelle").alias("space"), "id")
         .agg(F.min("ankunft").alias("arrived"), F.max("geloescht").alias("deleted"))
     )
     keys = records.groupBy("space", "id").agg(F.count("*").alias("n"), F.min("ankunft").alias("first"))
     matched = as_of_runs(keys, key_runs(known))
     beyond = F.col("end").isNull() | (F.col("id") > F.col("end"))
-    missing = matched.filter(beyond).select("space", "id", "n", F.lit(None).cast("timestamp_ntz").alias("arrived"), F.lit("fehlt").alias("why"))
-    look = matched.filter(~beyond & (F.col("any_deleted") | (F.col("latest") > F.col("first"))))
+    look = cut(matched.filter(beyond | F.col("any_deleted") | (F.col("latest") > F.col("first"))).withColumn("beyond", beyond))
     bad = (
-        look.select("space", "id", "n", "first")
+        look.filter("not beyond")
+        .select("space", "id", "n", "first")
         .join(known, ["space", "id"])
         .filter("deleted or arrived > first")
         .select("space", "id", "n", "arrived", F.when(F.col("deleted"), "geloescht").otherwise("verspaetet").alias("why"))
     )
-    found = skew_join(records, missing.unionByName(bad), ["space", "id"], weight="n")
+    missing = look.filter("beyond").select("space", "id", "n", F.lit(None).cast("timestamp_ntz").alias("arrived"), F.lit("fehlt").alias("why"))
+    faulty = cut(missing.unionByName(bad))
+    if faulty.count() <= MAX_SENT:
+        found = records.join(F.broadcast(faulty.drop("n")), ["space", "id"])
+    else:
+        found = skew_join(records, faulty, ["space", "id"], weight="n")
     return found.filter("why <> 'verspaetet' or arrived > ankunft").select(
         "tabelle", "satz", F.col("id").alias("ziel_id"), F.col("why").alias("art"), F.date_format("ankunft", "yyyy-MM").alias("periode")
     )
