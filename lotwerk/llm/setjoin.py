@@ -45,18 +45,18 @@ def near_pivots(sets: DataFrame, pivots: DataFrame, least: float, min_size: int)
     whose Jaccard similarity is sim at least; o is the size of their overlap. least is the smallest sim of any pivot.
 
     Two sets of overlap o >= ceil(sim * size) have their first k common tokens in the first size - ceil(sim * size) + k
-    tokens of either. They meet on exactly that k-subset, once, and are then verified.
+    tokens of either, so they meet on that k-subset; what meets is verified.
     """
     k = 2 if ceil(least * min_size - EPS) >= 2 else 1
-    left = sets.select("space", F.col("id").alias("y"), F.col("tokens").alias("ytok"), F.explode(_keys(F.col("tokens"), least, k)).alias("key"))
-    right = pivots.select("space", F.col("id").alias("p"), F.col("tokens").alias("ptok"), "sim", F.explode(_keys(F.col("tokens"), F.col("sim"), k)).alias("key"))
-    met = salted_join(left, right, ["space", "key"])
-    small, large = F.least(F.size("ytok"), F.size("ptok")), F.greatest(F.size("ytok"), F.size("ptok"))
-    met = met.filter(small >= large * F.col("sim") - EPS).withColumn("common", F.array_intersect("ytok", "ptok"))
-    o = F.size("common")
-    union = F.size("ytok") + F.size("ptok") - o
-    first = F.xxhash64(*(F.get("common", i) for i in range(k)))
-    return met.filter((o >= union * F.col("sim") - EPS) & (first == F.col("key"))).select("space", "y", "ytok", "p", "ptok", o.alias("o"))
+    # only ids, sizes and keys are shuffled for the meeting; the tokens join what has met, each pair once
+    left = sets.select("space", F.col("id").alias("y"), F.size("tokens").alias("ny"), F.explode(_keys(F.col("tokens"), least, k)).alias("key"))
+    right = pivots.select("space", F.col("id").alias("p"), F.size("tokens").alias("np"), "sim", F.explode(_keys(F.col("tokens"), F.col("sim"), k)).alias("key"))
+    met = salted_join(left, right, ["space", "key"]).filter(F.least("ny", "np") >= F.greatest("ny", "np") * F.col("sim") - EPS)
+    met = met.groupBy("space", "y", "p").agg(F.first("sim").alias("sim"))
+    met = met.join(sets.select("space", F.col("id").alias("y"), F.col("tokens").alias("ytok")), ["space", "y"])
+    met = met.join(pivots.select("space", F.col("id").alias("p"), F.col("tokens").alias("ptok")), ["space", "p"]).withColumn("o", F.size(F.array_intersect("ytok", "ptok")))
+    verified = F.col("o") >= (F.size("ytok") + F.size("ptok") - F.col("o")) * F.col("sim") - EPS
+    return met.filter(verified).select("space", "y", "ytok", "p", "ptok", "o")
 
 
 def _distance(o: Column, a: Column, b: Column) -> Column:
