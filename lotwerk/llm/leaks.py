@@ -15,6 +15,8 @@ from lotwerk.sources.tables import table
 
 #: Words of an item that must stand in a text one after the other.
 PASSAGE = 12
+#: Rarest terms of a window that are looked up before the rest is verified (less than PASSAGE).
+RAREST = 5
 #: Words of all items up to which their vocabulary goes to every task; beyond, postings are joined to it.
 MAX_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -69,7 +71,8 @@ def build_index(documents: DataFrame, vocabulary: DataFrame | None = None) -> Da
                 terms += at
                 places += at.values()
                 docs += [doc] * len(at)
-            yield pd.DataFrame({"term": terms, "doc_id": docs, "positions": places}).astype({"doc_id": "int64"})
+            if terms:
+                yield pd.DataFrame({"term": terms, "doc_id": docs, "positions": pd.Series(places, dtype=object)})
 
     ok = documents.filter("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
     index = ok.mapInPandas(post, "term string, doc_id long, positions array<int>")
@@ -82,17 +85,20 @@ def passages(index: DataFrame, wanted: DataFrame, passage: int = PASSAGE) -> Dat
     """(doc_id, item_id, longest): every text that has passage or more consecutive words of an item, and the most it has.
 
     index(term, doc_id, positions), wanted(item_id, at, term). Each window of passage words of an item is looked up by
-    its two rarest terms: their postings, less their offsets in the window, must agree. What is left is verified word by
-    word against the index. Items are looked up whole, in any number of places of any number of texts.
+    its two rarest terms: their postings, less their offsets in the window, must agree; then the next rarest must stand
+    at their places too. What is left is verified word by word against the index. Items are looked up whole, in any number of places of any number of texts.
     """
+    if passage < 3:
+        raise ValueError("a passage has three words at least")
     frequency = index.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
     known = cut(wanted.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))))
     # windows with a term that no text has cannot occur
     ahead = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, passage - 1)
-    rare = F.slice(F.array_sort(F.collect_list(F.struct("df", "term", "at")).over(ahead)), 1, 2)
-    windows = known.select("item_id", F.col("at").alias("start"), F.count("*").over(ahead).alias("n"), rare.alias("rare")).filter((F.col("n") == passage) & (F.col("rare")[0]["df"] > 0))
+    rare = F.slice(F.array_sort(F.collect_list(F.struct("df", "term", "at")).over(ahead)), 1, RAREST)
+    windows = known.select("item_id", F.count("*").over(ahead).alias("n"), rare.alias("rare")).filter((F.col("n") == passage) & (F.col("rare")[0]["df"] > 0))
+    others = F.transform(F.slice("rare", 3, RAREST), lambda x: F.struct(x["term"].alias("term"), x["at"].alias("at")))
     look = cut(
-        windows.select("item_id", F.col("rare")[0]["term"].alias("t1"), F.col("rare")[0]["at"].alias("p1"), F.col("rare")[1]["term"].alias("t2"), F.col("rare")[1]["at"].alias("p2")).distinct()
+        windows.select("item_id", *(F.col("rare")[i][c].alias(f"{n}{i + 1}") for i in (0, 1) for c, n in (("term", "t"), ("at", "p"))), others.alias("others")).distinct()
     )
     small = look.count() <= MAX_WORDS
     hint = F.broadcast if small else (lambda x: x)
@@ -102,9 +108,14 @@ def passages(index: DataFrame, wanted: DataFrame, passage: int = PASSAGE) -> Dat
         hit = index.join(hint(asked), "term").select("doc_id", "item_id", F.col("p").alias(p), F.explode("positions").alias("at"))
         sides.append(hit.select("doc_id", "item_id", p, (F.col("at") - F.col(p)).alias("shift")))
     pairs = look.select("item_id", "p1", "p2").distinct()
-    both = sides[0].join(hint(pairs), ["item_id", "p1"]).join(sides[1], ["doc_id", "item_id", "shift", "p2"]).select("doc_id", "item_id", "shift").distinct()
-    expected = both.join(hint(known.filter("df > 0").select("item_id", "at", "term")) if small else known.select("item_id", "at", "term"), "item_id")
-    met = expected.join(index, ["doc_id", "term"]).filter(F.array_contains("positions", F.col("shift") + F.col("at"))).select("doc_id", "item_id", "shift", "at")
+    both = sides[0].join(hint(pairs), ["item_id", "p1"]).join(sides[1], ["doc_id", "item_id", "shift", "p2"])
+    # the next rarest terms of the same windows, at their places
+    more = both.join(hint(look.select("item_id", "p1", "p2", "others", F.xxhash64("others").alias("w"))), ["item_id", "p1", "p2"])
+    more = more.select("doc_id", "item_id", "shift", "w", F.size("others").alias("need"), F.explode("others").alias("o")).select("doc_id", "item_id", "shift", "w", "need", "o.term", "o.at").distinct()
+    stood = more.join(index, ["doc_id", "term"]).filter(F.array_contains("positions", F.col("shift") + F.col("at")))
+    left = stood.groupBy("doc_id", "item_id", "shift", "w").agg(F.count_distinct("at").alias("k"), F.first("need").alias("need")).filter("k = need").select("doc_id", "item_id", "shift").distinct()
+    expected = left.join(hint(known.filter("df > 0").select("item_id", "at", "term")), "item_id")
+    met = expected.join(index, ["doc_id", "term"]).filter(F.array_contains("positions", F.col("shift") + F.col("at"))).select("doc_id", "item_id", "shift", "at").distinct()
     order = Window.partitionBy("doc_id", "item_id", "shift").orderBy("at")
     runs = met.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("doc_id", "item_id", "shift", "run").agg(F.count("*").alias("n"))
     return runs.filter(F.col("n") >= passage).groupBy("doc_id", "item_id").agg(F.max("n").cast("int").alias("longest"))
