@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwerk.operators.skew import skew_join
+from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
 #: Rows of the reference list up to which its automaton is built on the driver and sent to the tasks.
 MAX_CANON = 100_000
+#: Distinct names that one task judges.
+NAMES_A_TASK = 4_000
 _UMLAUTS = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss", "à": "a", "â": "a", "é": "e", "è": "e", "ê": "e", "ç": "c", "ô": "o", "î": "i"})
 
 
@@ -171,7 +174,8 @@ def map_names(rows: DataFrame, canon: DataFrame) -> DataFrame:
     Every distinct name is judged once, whatever number of rows has it: an automaton over all names and aliases finds
     whole names embedded in it, the longest non-overlapping one winning; a name without a mention is compared by its
     set of words, spelling errors allowed by length, and as the beginning of a name cut off. Null and blank names and
-    those of an area without entries: 0. A name may be of any length; empty tables give no rows.
+    those of an area without entries: 0. A name may be of any length; empty tables give no rows; other columns stay, but a
+    kanon_id of rows is replaced.
     """
     sent = rows.sparkSession.sparkContext.broadcast({k: [(i, n) for n, i in m.names.items()] for k, m in matchers(canon).items()})
 
@@ -182,10 +186,11 @@ def map_names(rows: DataFrame, canon: DataFrame) -> DataFrame:
             b["kanon_id"] = [own.get(k, nobody)(n) for k, n in zip(b["bereich"], b["name"])]
             yield b
 
-    names = rows.filter("bereich is not null and name is not null").groupBy("bereich", "name").agg(F.count("*").alias("n"))
-    # names are few beside rows, judging them is the work: spread them evenly
-    judged = names.repartition("bereich", "name").mapInPandas(judge, "bereich string, name string, n long, kanon_id long")
-    return skew_join(rows, judged, ["bereich", "name"], weight="n", how="left").drop("n").withColumn("kanon_id", F.coalesce("kanon_id", F.lit(0)))
+    names = cut(rows.filter("bereich is not null and name is not null").groupBy("bereich", "name").agg(F.count("*").alias("__n")))
+    # names are few beside rows, judging them is the work: a fixed number of them a task, and each judged once
+    spread = names.repartition(max(1, -(-names.count() // NAMES_A_TASK)), "bereich", "name")
+    judged = cut(spread.mapInPandas(judge, "bereich string, name string, __n long, kanon_id long"))
+    return skew_join(rows.drop("kanon_id"), judged, ["bereich", "name"], weight="__n", how="left").drop("__n").withColumn("kanon_id", F.coalesce("kanon_id", F.lit(0)))
 
 
 def typed_names(spark: SparkSession, folder: str) -> DataFrame:

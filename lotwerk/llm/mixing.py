@@ -83,7 +83,7 @@ def segments(schedule: dict[str, list[tuple[float, float]]]) -> list[tuple]:
     """(source, t0, t1, w0, w1, c0, c1): the schedule's pieces with the share of the source's demand due before and after."""
     out = []
     for source, knots in schedule.items():
-        knots = sorted(knots)
+        knots = sorted((float(t), float(w)) for t, w in knots)
         areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:])]
         whole, done = sum(areas), 0.0
         for (a, b), area in zip(zip(knots, knots[1:]), areas):
