@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwerk.operators.skew import skew_join
+from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
 #: A length is a spike of its source if it has so many texts at least, and more than the mean of the 2 * NEAR lengths
@@ -61,10 +62,11 @@ def judged(documents: DataFrame) -> DataFrame:
     last = F.substring_index("bare", "\n", -1)
     before = F.when(F.instr("bare", "\n") > 0, F.substring_index(F.substring_index("bare", "\n", -2), "\n", 1))
     first_word = lambda line: F.regexp_extract(line, r"^[^\p{L}]*(\p{L}+)", 1)
-    facts = docs.select(
+    # everything that the text itself is needed for, in one pass; the rest works on this narrow table
+    facts = cut(docs.select(
         "doc_id", "s", "source", "marked", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), ended.alias("ended"),
         F.right(last, F.lit(200)).alias("last"), F.length(last).alias("last_len"), F.right(before, F.lit(60)).alias("before"), F.length(before).alias("before_len"), first_word(last).alias("word"),
-    )
+    ))
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.rtrim("line", F.lit(WHITE)).alias("line")).filter("line <> ''")
     full = F.right(F.col("line"), F.lit(60)).rlike(TERMINAL)
     openings = lines.select(first_word(F.col("line")).alias("word"), full.alias("full")).groupBy("word").agg(F.count("*").alias("seen"), F.count_if("full").alias("full"))
@@ -80,8 +82,9 @@ def judged(documents: DataFrame) -> DataFrame:
     ended_rows = facts.filter("ended").select("doc_id", "source", F.lit(False).alias("cut"))
     open_ = skew_join(facts.filter("not ended"), at_bytes, ["s", "bytes"], how="left")
     open_ = skew_join(open_, openings, ["word"], how="left")
-    block = (F.col("before_len").between(1, 30)) & (F.col("last_len") <= 40) & ~F.col("before").rlike(TERMINAL) & (F.trim("before") != "")
-    opens_notes = (F.col("seen") >= SEEN) & (F.col("full") <= SENTENCE_SHARE * F.col("seen"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    block = sure(F.col("before_len").between(1, 30) & (F.col("last_len") <= 40) & ~F.col("before").rlike(TERMINAL) & (F.trim("before") != ""))
+    opens_notes = sure((F.col("seen") >= SEEN) & (F.col("full") <= SENTENCE_SHARE * F.col("seen")))
     dated = F.col("last").rlike(DATE_LINE) & (F.coalesce("full", F.lit(0)) == 0)
     several = F.col("last").rlike(r"[.!?][\"'»”)]*\s+\p{Lu}") & ~F.col("last").startswith("|")
     note = (F.col("last").rlike(NOTE_LINE) | block | (opens_notes & (F.col("word") != "")) | dated) & ~several | F.col("last").rlike(CLOSING)
