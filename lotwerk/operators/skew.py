@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwerk.session import cut
+
 #: Keys that skew_join treats as heavy. Any other key has at most 1/HEAVY of the big side's rows,
 #: and the broadcast side has at most HEAVY rows whatever the input's size.
 HEAVY = 1024
@@ -50,3 +52,16 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], split_rows: i
     left = big.join(heavy, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*big.columns), parts).cast("int")).drop("__parts")
     right = small.join(heavy, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
+#: Rows of a lookup table up to which checked_join broadcasts it.
+MAX_LOOKUP = 200_000
+
+
+def checked_join(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", most: int = MAX_LOOKUP) -> DataFrame:
+    """big joined to unique, which has one row a key at most: by broadcast if, counted, it has most rows or fewer, else
+    by skew_join. unique is written to the shared folder first, so that it is made once."""
+    unique = cut(unique)
+    if unique.count() <= most:
+        return big.join(F.broadcast(unique), keys, how)
+    return skew_join(big, unique, keys, how=how)
