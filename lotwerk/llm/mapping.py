@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwerk.operators.skew import skew_join
+from lotwerk.operators.skew import checked_join
 from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
@@ -189,8 +189,8 @@ def map_names(rows: DataFrame, canon: DataFrame) -> DataFrame:
     names = cut(rows.filter("bereich is not null and name is not null").groupBy("bereich", "name").agg(F.count("*").alias("__n")))
     # names are few beside rows, judging them is the work: a fixed number of them a task, and each judged once
     spread = names.repartition(max(1, -(-names.count() // NAMES_A_TASK)), "bereich", "name")
-    judged = cut(spread.mapInPandas(judge, "bereich string, name string, __n long, kanon_id long"))
-    return skew_join(rows.drop("kanon_id"), judged, ["bereich", "name"], weight="__n", how="left").drop("__n").withColumn("kanon_id", F.coalesce("kanon_id", F.lit(0)))
+    judged = spread.mapInPandas(judge, "bereich string, name string, __n long, kanon_id long").drop("__n")
+    return checked_join(rows.drop("kanon_id"), judged, ["bereich", "name"], "left").withColumn("kanon_id", F.coalesce("kanon_id", F.lit(0)))
 
 
 def typed_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,12 +207,12 @@ def unmatched_input(rows: DataFrame, canon: DataFrame) -> DataFrame:
     """rows whose name is neither blank nor, character for character, an entry's name of its area."""
     exact = canon.select("bereich", F.col("bezeichnung").alias("name")).distinct().withColumn("exact", F.lit(True))
     some = rows.filter(F.col("name").isNotNull() & (F.regexp_replace("name", r"[\s\u00a0]+", "") != ""))
-    return skew_join(some, exact, ["bereich", "name"], how="left").filter("exact is null").drop("exact")
+    return checked_join(some, exact, ["bereich", "name"], "left").filter("exact is null").drop("exact")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     canon = table(spark, folder, "kanon_begriff")
-    rows = unmatched_input(typed_names(spark, folder), canon)
+    rows = cut(unmatched_input(typed_names(spark, folder), canon))
     return map_names(rows, canon).select("tabelle", "satz", "kanon_id")
 
 
