@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwerk.operators.skew import skew_join
+from lotwerk.operators.skew import checked_join
 from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
@@ -71,7 +71,7 @@ def judged(documents: DataFrame) -> DataFrame:
     full = F.right(F.col("line"), F.lit(60)).rlike(TERMINAL)
     openings = lines.select(first_word(F.col("line")).alias("word"), full.alias("full")).groupBy("word").agg(F.count("*").alias("seen"), F.count_if("full").alias("full"))
     at_chars = _spikes(facts.select(F.col("s").alias("source"), F.col("chars").alias("n"))).select(F.col("source").alias("s"), F.col("n").alias("chars"), F.lit(True).alias("at_chars"))
-    facts = skew_join(facts, at_chars, ["s", "chars"], how="left")
+    facts = checked_join(facts, at_chars, ["s", "chars"], how="left")
     rest = facts.filter("at_chars is null")
     at_bytes = (
         _spikes(rest.select(F.col("s").alias("source"), F.col("bytes").alias("n")))
@@ -80,8 +80,8 @@ def judged(documents: DataFrame) -> DataFrame:
         .withColumn("at_bytes", F.lit(True))
     )
     ended_rows = facts.filter("ended").select("doc_id", "source", F.lit(False).alias("cut"))
-    open_ = skew_join(facts.filter("not ended"), at_bytes, ["s", "bytes"], how="left")
-    open_ = skew_join(open_, openings, ["word"], how="left")
+    open_ = checked_join(facts.filter("not ended"), at_bytes, ["s", "bytes"], how="left")
+    open_ = checked_join(open_, openings, ["word"], how="left")
     sure = lambda c: F.coalesce(c, F.lit(False))
     block = sure(F.col("before_len").between(1, 30) & (F.col("last_len") <= 40) & ~F.col("before").rlike(TERMINAL) & (F.trim("before") != ""))
     opens_notes = sure((F.col("seen") >= SEEN) & (F.col("full") <= SENTENCE_SHARE * F.col("seen")))
