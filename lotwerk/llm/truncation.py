@@ -14,8 +14,11 @@ from lotwerk.sources.tables import table
 LEAST, NEAR, SIGMAS = 5, 10, 6
 #: Bytes that a cut at a byte limit may leave free because the next character does not fit.
 BYTE_SLACK = 3
-#: A line opening is one of notes, not of sentences, if it is seen so often and in so small a share before a full stop.
-SEEN, SENTENCE_SHARE = 5, 0.1
+#: Words at the end of a text that must stand in a quoted text for the end to be a quotation.
+QUOTED = 4
+#: A word that opens or ends lines is known if it does so SEEN times, and SEEN_SHARE times the number of texts; a line
+#: opening is one of notes, not of sentences, if it is known and leads to a full stop in so small a share.
+SEEN, SEEN_SHARE, SENTENCE_SHARE = 5, 5e-5, 0.1
 #: What is put behind a cut (white space apart), remarks that close a text, abbreviations no sentence ends with.
 CUT_MARK = r"(?:</?[A-Za-z][^<>]{0,40}>|…|\.{3,}|\[\s?(?:…|\.{3})\s?\]|\(\s?(?:…|\.{3}|mehr|weiter|suite|more|continua|segue)\s?\))"
 CLOSING = r"(?i)(?:\([^()]{1,40}\)|(?:^|[.!?»)]\s+)(?:ende|schluss|fin|fine|end|usw|etc))$"
@@ -44,14 +47,31 @@ def _spikes(lengths: DataFrame) -> DataFrame:
     return count.withColumn("mean", mean).filter((F.col("k") >= LEAST) & (F.col("k") > F.col("mean") + SIGMAS * F.sqrt(F.col("mean") + 0.1))).select("source", "n")
 
 
-def judged(documents: DataFrame) -> DataFrame:
+def _spelt(text: Column) -> Column:
+    """The words of a text: lower case, umlauts spelt out, words broken at a line end whole."""
+    t = F.lower(F.regexp_replace(text, r"-\r?\n\s*", ""))
+    for x, y in (("ä", "ae"), ("ö", "oe"), ("ü", "ue")):
+        t = F.replace(t, F.lit(x), F.lit(y))
+    return F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def quoted_ends(quotes: DataFrame) -> DataFrame:
+    """(end): every run of QUOTED words of quotes(text), joined by blanks."""
+    words = quotes.select(_spelt(F.col("text")).alias("w")).filter(F.size("w") >= QUOTED)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - QUOTED + 1), lambda i: F.array_join(F.slice("w", i, QUOTED), " "))
+    return words.select(F.explode(runs).alias("end")).distinct()
+
+
+def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, cut) of documents(doc_id, source, text) with a text.
 
     Per source, length histograms in characters and, of the texts at no spike of characters, in bytes are tested for
-    spikes; a text at a spike's length that has no terminal punctuation is cut. Any other text is cut if what remains
-    without marks put behind the cut ends without terminal punctuation, or in an abbreviation or an unfinished date,
-    unless its last line is a note: a list item, table row, labelled or dated line, a line of a block of short lines, a
-    closing remark, or one that opens like lines that hardly ever end a sentence in the whole corpus.
+    spikes; a text at a spike's length that has no terminal punctuation is cut, unless its last line is a note (below)
+    whose last word is one that lines of the corpus end with. Any other text is cut if what remains without marks put
+    behind the cut ends without terminal punctuation, or in an abbreviation or an unfinished date, unless its last line
+    is a note: a list item, table row, labelled or dated line, a line of a block of short lines, a closing remark, or
+    one that opens like lines that hardly ever end a sentence in the whole corpus. A text that ends in a quotation from
+    quotes(text), on a whole word, is not cut: the quotation was broken off, the text is all there.
 
     Null and empty texts, and those of white space only, are not judged; a null source is a source; repeated rows are
     judged each; an empty table gives no rows.
@@ -60,16 +80,24 @@ def judged(documents: DataFrame) -> DataFrame:
     tail = F.right(F.col("bare"), F.lit(60))
     ended = tail.rlike(TERMINAL) & ~tail.rlike(ABBREVIATION) & ~tail.rlike(OPEN_DATE)
     last = F.substring_index("bare", "\n", -1)
-    before = F.when(F.instr("bare", "\n") > 0, F.substring_index(F.substring_index("bare", "\n", -2), "\n", 1))
+    nth = lambda n: F.when(F.regexp_count("bare", F.lit("\n")) >= n - 1, F.substring_index(F.substring_index("bare", "\n", -n), "\n", 1))
     first_word = lambda line: F.regexp_extract(line, r"^[^\p{L}]*(\p{L}+)", 1)
+    last_word = lambda line: F.regexp_extract(line, r"(\p{L}+)[^\p{L}\p{N}]*$", 1)
+    before = F.rtrim(nth(2), F.lit(WHITE))
+    end = _spelt(F.right("bare", F.lit(300)))
     # everything that the text itself is needed for, in one pass; the rest works on this narrow table
     facts = cut(docs.select(
         "doc_id", "s", "source", "marked", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), ended.alias("ended"),
-        F.right(last, F.lit(200)).alias("last"), F.length(last).alias("last_len"), F.right(before, F.lit(60)).alias("before"), F.length(before).alias("before_len"), first_word(last).alias("word"),
+        F.right(last, F.lit(200)).alias("last"), F.length(last).alias("last_len"), F.right(before, F.lit(60)).alias("before"), F.length(before).alias("before_len"),
+        F.coalesce((F.trim(nth(3)) == "") | F.right(F.rtrim(nth(3), F.lit(WHITE)), F.lit(60)).rlike(TERMINAL), F.lit(False)).alias("opens_block"), first_word(last).alias("word"), last_word(F.right(last, F.lit(200))).alias("end_word"),
+        F.array_join(F.slice(end, F.greatest(F.size(end) - QUOTED + 1, F.lit(1)), QUOTED), " ").alias("end"),
     ))
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.rtrim("line", F.lit(WHITE)).alias("line")).filter("line <> ''")
     full = F.right(F.col("line"), F.lit(60)).rlike(TERMINAL)
-    openings = lines.select(first_word(F.col("line")).alias("word"), full.alias("full")).groupBy("word").agg(F.count("*").alias("seen"), F.count_if("full").alias("full"))
+    sides = F.array(F.struct(F.lit(True).alias("opens"), first_word(F.col("line")).alias("word")), F.struct(F.lit(False).alias("opens"), last_word(F.right("line", F.lit(60))).alias("word")))
+    words = lines.select(F.explode(sides).alias("x"), full.alias("full")).groupBy("x.opens", "x.word").agg(F.count("*").alias("seen"), F.count_if("full").alias("full"))
+    known = max(SEEN, round(SEEN_SHARE * facts.count()))
+    words = cut(words.filter(F.col("seen") >= known))
     at_chars = _spikes(facts.select(F.col("s").alias("source"), F.col("chars").alias("n"))).select(F.col("source").alias("s"), F.col("n").alias("chars"), F.lit(True).alias("at_chars"))
     facts = checked_join(facts, at_chars, ["s", "chars"], how="left")
     rest = facts.filter("at_chars is null")
@@ -81,24 +109,33 @@ def judged(documents: DataFrame) -> DataFrame:
     )
     ended_rows = facts.filter("ended").select("doc_id", "source", F.lit(False).alias("cut"))
     open_ = checked_join(facts.filter("not ended"), at_bytes, ["s", "bytes"], how="left")
-    open_ = checked_join(open_, openings, ["word"], how="left")
+    open_ = checked_join(open_, words.filter("opens").drop("opens"), ["word"], how="left")
+    open_ = checked_join(open_, words.filter("not opens").select(F.col("word").alias("end_word"), F.col("seen").alias("end_seen")), ["end_word"], how="left")
+    if quotes is not None:
+        open_ = checked_join(open_, quoted_ends(quotes).withColumn("quoted", F.lit(True)), ["end"], how="left")
+    else:
+        open_ = open_.withColumn("quoted", F.lit(None).cast("boolean"))
     sure = lambda c: F.coalesce(c, F.lit(False))
-    block = sure(F.col("before_len").between(1, 30) & (F.col("last_len") <= 40) & ~F.col("before").rlike(TERMINAL) & (F.trim("before") != ""))
-    opens_notes = sure((F.col("seen") >= SEEN) & (F.col("full") <= SENTENCE_SHARE * F.col("seen")))
-    dated = F.col("last").rlike(DATE_LINE) & (F.coalesce("full", F.lit(0)) == 0)
-    several = F.col("last").rlike(r"[.!?][\"'»”)]*\s+\p{Lu}") & ~F.col("last").startswith("|")
-    note = (F.col("last").rlike(NOTE_LINE) | block | (opens_notes & (F.col("word") != "")) | dated) & ~several | F.col("last").rlike(CLOSING)
-    spike = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
-    return ended_rows.unionByName(open_.select("doc_id", "source", (F.col("marked") | spike & ~F.col("last").rlike(CLOSING) | ~note).alias("cut")))
+    text = F.col("last")
+    block = sure(F.col("before_len").between(1, 30) & (F.col("last_len") <= 40) & ~F.col("before").rlike(TERMINAL + r"|[\d§]") & F.col("opens_block"))
+    opens_notes = sure(F.col("full") <= SENTENCE_SHARE * F.col("seen")) & (F.col("word") != "") & text.rlike(r"\S\s+\S")
+    dated = text.rlike(DATE_LINE) & (F.coalesce("full", F.lit(0)) == 0)
+    several = text.rlike(r"[.!?][\"'»”)]*\s+\p{Lu}") & ~text.startswith("|")
+    closed = text.rlike(CLOSING)
+    note = (text.rlike(NOTE_LINE) | block | opens_notes | dated) & ~several | closed
+    spike = sure(F.col("at_chars")) | sure(F.col("at_bytes"))
+    whole_word = (F.col("end_word") == "") | F.col("end_seen").isNotNull()
+    decided = F.col("marked") | (spike & ~(note & whole_word)) | ~note
+    return ended_rows.unionByName(open_.select("doc_id", "source", (decided & ~closed & (F.col("marked") | ~sure(F.col("quoted")))).alias("cut")))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return judged(table(spark, folder, "documents", "doc_id", "source", "text")).filter("cut").select("doc_id")
+    return judged(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "pruefaufgabe", "text")).filter("cut").select("doc_id")
 
 
 def p10_rate(spark: SparkSession, folder: str) -> DataFrame:
     """Texts, cut texts and their share for each source."""
-    rows = judged(table(spark, folder, "documents", "doc_id", "source", "text"))
+    rows = judged(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "pruefaufgabe", "text"))
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("rate"))
 
 

@@ -29,10 +29,10 @@ def test_spikes(spark):
     for i in range(40):  # lengths without a spike, of the shape of notes
         rows.append((i, "a", "Satz." + "x" * i * 3 + ".\n\nKontakt: Das Amt", "", 0))
     for i in range(12):  # a limit of 100 characters that cuts notes, too
-        rows.append((100 + i, "a", ("Satz " + "y" * i + ". " + "z" * 200)[:70] + ".\n\nKontakt: " + "Das Bauamt am Weg"[:18] + "k" * 30, "", 0))
+        rows.append((100 + i, "a", ("Satz " + "y" * i + ". " + "z" * 200)[:70] + ".\n\nKontakt: " + "Das Bauamt am Weg" + "klmnopqrstuv"[i] * 30, "", 0))
     rows = [(d, s, t[:100] if d >= 100 else t, c, x) for d, s, t, c, x in rows]
     for i in range(12):  # 64 bytes at most in another source, characters uneven
-        rows.append((200 + i, "b", ("ä" * i + "q" * 20 + ".\n\nOrt: " + "w" * 90).encode()[:64].decode(errors="ignore"), "", 0))
+        rows.append((200 + i, "b", ("ä" * i + "q" * 20 + ".\n\nOrt: " + "klmnopqrstuv"[i] * 90).encode()[:64].decode(errors="ignore"), "", 0))
     got = {r.doc_id: r.cut for r in run(spark, rows).collect()}
     assert not any(got[i] for i in range(40))
     assert all(got[100 + i] for i in range(12)) and all(got[200 + i] for i in range(12))
@@ -42,3 +42,10 @@ def test_edges(spark):
     rows = [(1, None, None, "", 0), (2, None, "", "", 0), (3, None, " \n ", "", 0), (4, None, "Nur ein Wort", "", 0), (4, None, "Nur ein Wort", "", 0), (5, "q", "a" * 300_000, "", 0), (None, "q", "Satz.", "", 0)]
     assert sorted((r.doc_id or 0, r.cut) for r in run(spark, rows).collect()) == [(0, False), (4, True), (4, True), (5, True)]
     assert run(spark, rows[:0]).count() == 0
+
+
+def test_quotations(spark):
+    quote = spark.createDataFrame([("Laut Vermerk 9 hat Olk die Auf-\nlage nie erfüllt.",), (None,), ("kurz",)], "text string")
+    rows = [(1, "q", "Satz. Laut vermerk 9 HAT olk", "", 0), (2, "q", "Satz. Laut Vermerk 9 hat Ol", "", 0), (3, "q", "Satz. olk die Auflage nie", "", 0), (4, "q", "Satz. Laut Vermerk 9 hat Olk …", "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, cut string, s int")
+    assert {r.doc_id: r.cut for r in judged(df, quote).collect()} == {1: False, 2: True, 3: False, 4: True}
