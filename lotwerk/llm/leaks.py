@@ -166,5 +166,17 @@ def p8_near(spark: SparkSession, folder: str) -> DataFrame:
     return near_matches(build_index(table(spark, folder, "documents", "doc_id", "text"), wanted.select("term")), wanted)
 
 
-SQL: dict[str, str] = {}
+_SQL_WORDS = r"regexp_extract_all(replace(replace(replace(nfc_normalize(lower(nfc_normalize(regexp_replace(text, '[-‐­]\r?\n\s*', '', 'g')))), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '[\p{L}\p{N}]+')"
+_SQL_RUNS = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} w FROM documents WHERE text IS NOT NULL), q AS (SELECT item_id, {_SQL_WORDS} w FROM pruefaufgabe WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, i, array_to_string(w[i:i + {PASSAGE - 1}], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {PASSAGE - 2})) i FROM d WHERE len(w) >= {PASSAGE})),
+qg AS (SELECT item_id, j, array_to_string(w[j:j + {PASSAGE - 1}], ' ') g FROM (SELECT item_id, w, unnest(range(1, len(w) - {PASSAGE - 2})) j FROM q WHERE len(w) >= {PASSAGE})),
+m AS (SELECT DISTINCT doc_id, item_id, i - j shift, i FROM dg JOIN qg USING (g)),
+r AS (SELECT doc_id, item_id, shift, i - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY i) k FROM m),
+l AS (SELECT doc_id, item_id, max(n) longest FROM (SELECT doc_id, item_id, shift, k, count(*) + {PASSAGE - 1} n FROM r GROUP BY ALL) GROUP BY ALL)
+"""
+SQL = {
+    "p8_found": _SQL_RUNS + "SELECT doc_id, item_id FROM l",
+    "p8_items": _SQL_RUNS + "SELECT item_id, count(*) n_documents, CAST(max(longest) AS INTEGER) longest FROM l GROUP BY item_id",
+}
 QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p8_near": p8_near}
