@@ -114,3 +114,18 @@ def encrypt(c: Column, key: Column) -> Column:
 
 def decrypt(c: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unhex(c), key, F.lit("GCM")).cast("string")
+
+
+def flat_text(c: Column) -> Column:
+    """A text in one line: words broken at a line end whole, white space made one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "-\n", ""), r"\s+", " "))
+
+
+def standard_code(c: Column) -> Column:
+    """44, eCH44 or eCH-0044 as eCH-0044."""
+    return F.concat(F.lit("eCH-"), F.lpad(F.regexp_extract(c, "([0-9]+)", 1), 4, "0"))
+
+
+def mend_encoding(c: Column) -> Column:
+    """UTF-8 that was read as Latin-1, where it shows signs of that, read as UTF-8."""
+    return F.when(c.rlike("[ÃÂ][\u0080-¿]"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwerk.session import cut, drop
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """One row a key: columns of the row that is greatest by order. Combines before the shuffle, unlike a window."""
@@ -207,3 +209,44 @@ def match_in_waves(left: DataFrame, right: DataFrame, lid: str, rid: str, waves:
         matched = pairs if matched is None else matched.unionByName(pairs)
         left, right = left.join(pairs.select(lid), lid, "left_anti"), right.join(pairs.select(rid), rid, "left_anti")
     return matched, left, right
+
+
+def greedy_one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
+    """The pairs that taking the best score first, and each side once, leaves; ties by left, then right.
+
+    In each round every pair that is the best of both its sides is taken and what shares a side with it drops out; that
+    is the same set as one pass in order of score, without a driver's loop over rows.
+    """
+    rank = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+    free = cut(pairs.select(left, right, score).distinct())
+    taken = []
+    while not free.isEmpty():
+        best_l = free.groupBy(left).agg(F.min(rank).alias("__b")).select("__b")
+        best_r = free.groupBy(right).agg(F.min(rank).alias("__b")).select("__b")
+        both = cut(best_l.intersect(best_r).select(F.col("__b.l").alias(left), F.col("__b.r").alias(right), (-F.col("__b.s")).alias(score)))
+        taken.append(both)
+        before, free = free, cut(free.join(both.select(left), left, "left_anti").join(both.select(right), right, "left_anti"))
+        drop(before)
+    return reduce(DataFrame.unionByName, taken) if taken else free
+
+
+def edit_pairs(names: DataFrame, most: int, gram: int = 2) -> DataFrame:
+    """(a, b, d): all pairs a < b of distinct names(name) at most most insertions, deletions or replacements apart.
+
+    Names within most edits share one of their most * gram + 1 rarest grams if they have more than that many; shorter
+    ones are joined by length, among few.
+    """
+    distinct = names.filter("name is not null").select("name").distinct()
+    grams = distinct.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - gram + 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(gram))))).alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    need = most * gram + 1
+    ranked = grams.join(counts, "g").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("gs"))
+    # repeated grams count once here, so only names with grams to spare may rely on the prefix
+    long_ = ranked.filter((F.size("gs") > need) & (F.size("gs") == F.length("name") - gram + 1))
+    short = ranked.join(long_.select("name"), "name", "left_anti").select("name")
+    posted = long_.select("name", F.explode(F.slice("gs", 1, need)).alias("k"))
+    met = posted.select(F.col("name").alias("a"), "k").join(posted.select(F.col("name").alias("b"), "k"), "k").filter("a < b").select("a", "b")
+    near = short.select(F.col("name").alias("x"), F.explode(F.sequence(F.greatest(F.length("name") - most, F.lit(0)), F.length("name") + most)).alias("k"))
+    other = near.join(distinct.select(F.col("name").alias("y"), F.length("name").alias("k")), "k").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    d = F.levenshtein("a", "b")
+    return met.union(other).distinct().withColumn("d", d).filter(F.col("d") <= most)

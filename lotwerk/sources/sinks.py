@@ -56,7 +56,7 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 def csv_export(df: DataFrame, path: str) -> None:
     """Semicolons, everything quoted, a header in every file; the order within files is df's."""
-    df.write.mode("overwrite").option("sep", ";").option("quoteAll", True).option("header", True).option("lineSep", "\n").csv(path)
+    df.write.mode("overwrite").option("sep", ";").option("quoteAll", True).option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def nested_map(df: DataFrame, key: str) -> DataFrame:

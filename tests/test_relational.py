@@ -87,3 +87,29 @@ def test_gates(spark):
     assert gates.errors(spark) == {"fk": 1}
     with pytest.raises(ValueError):
         gates.add("ok")(None)
+
+
+def test_greedy_and_edit_pairs(spark):
+    rnd = random.Random(8)
+    pairs = sorted({(rnd.randrange(30), 100 + rnd.randrange(30)): rnd.randrange(6) for _ in range(150)}.items(), key=lambda x: (-x[1], x[0]))
+    used, want = set(), set()
+    for (a, b), s in pairs:
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b, s))
+    df = spark.createDataFrame([(a, b, s, "x") for (a, b), s in pairs], "a int, b int, s int, l string")
+    assert {tuple(r) for r in R.greedy_one_to_one(df, "a", "b", "s").collect()} == want
+    assert R.greedy_one_to_one(df.limit(0), "a", "b", "s").count() == 0
+    names = ["".join(rnd.choices("abc", k=rnd.randint(1, 9))) for _ in range(60)] + ["aaaaaaaaaa", "aaaaaaaaab", "amt fuer bauten", "amt fuer banten", ""]
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    distinct = sorted(set(names))
+    want = {(a, b, lev(a, b)) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if lev(a, b) <= 2}
+    assert {tuple(r) for r in R.edit_pairs(spark.createDataFrame([(n,) for n in names + [None]], "name string"), 2).collect()} == want
