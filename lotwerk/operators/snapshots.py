@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwerk.operators.skew import checked_join
 from lotwerk.sources.tables import table
 
 COMPARED = ["title", "kurzbeschreibung", "unterlagen", "gebuehren", "dienststelle", "status"]
@@ -27,7 +28,8 @@ def snapshot_changes(rows: DataFrame, pairs: DataFrame, compared: list[str] = CO
 
     rows(quelle, abzug, schluessel, gelesen_am, compared...): raw rows of the full snapshots. pairs(quelle, abzug,
     vorher): which harvest is compared with which. felder are the columns that differ, for art geaendert. EXCEPT ALL
-    of fingerprinted rows both ways takes the identical rows away; only the residues are joined in full by key.
+    of fingerprinted rows both ways takes the identical rows away; only the residues are joined in full by key. A harvest
+    is in pairs once at most on either side.
 
     Null values equal each other and differ from any value; json_columns are compared as JSON values, text that is no
     JSON as text. Null keys are one key. A harvest without rows removes all keys of the one before. No pairs: no rows.
@@ -36,12 +38,10 @@ def snapshot_changes(rows: DataFrame, pairs: DataFrame, compared: list[str] = CO
     # one hash a column: narrower to shuffle than the texts, and it still says which column differs
     marks = F.array(*(F.coalesce(F.xxhash64(F.struct(F.col(f"v.{c}").isNull(), F.col(f"v.{c}"))), F.lit(0)) for c in compared))
     marked = held.select("quelle", "abzug", "schluessel", F.sha2(F.to_json("v"), 256).alias("print"), marks.alias("marks"))
-    now = marked.join(pairs, ["quelle", "abzug"]).select("quelle", "abzug", "vorher", "schluessel", "print", "marks")
-    then = (
-        marked.withColumnRenamed("abzug", "vorher")
-        .join(pairs, ["quelle", "vorher"])
-        .select("quelle", "abzug", "vorher", "schluessel", "print", "marks")
-    )
+    columns = ["quelle", "abzug", "vorher", "schluessel", "print", "marks"]
+    # a harvest may hold a third of all rows and is one key here, so pairs is never shuffled against unless it is huge
+    now = checked_join(marked, pairs, ["quelle", "abzug"]).select(*columns)
+    then = checked_join(marked.withColumnRenamed("abzug", "vorher"), pairs, ["quelle", "vorher"]).select(*columns)
     added, gone = now.exceptAll(then), then.exceptAll(now)
     key = ["quelle", "abzug", "vorher", "schluessel"]
     a = added.select(*key, F.col("marks").alias("new"))
