@@ -14,6 +14,8 @@ from lotwerk.sources.tables import table
 
 #: Of so many representatives one is drawn as a pivot, by its hash.
 PIVOT_EVERY = 8
+#: Tokens up to which a set meets others on pairs of tokens.
+PAIRS_TO = 48
 #: Guard against binary fractions: similarities are ratios of small integers, thresholds are lowered by this much.
 EPS = 1e-9
 
@@ -30,27 +32,34 @@ def _overlap_at_least(size: Column, sim: Column | float) -> Column:
     return F.ceil(size * sim - EPS).cast("int")
 
 
-def _keys(tokens: Column, sim: Column | float, k: int) -> Column:
-    """All k-subsets of the prefix that must share its first k common tokens with any set of similarity sim or more."""
+def _keys(tokens: Column, sim: Column | float, least: float, pairs: bool) -> Column:
+    """The keys on which a set meets every set of similarity sim or more, both made for sims of least or more.
+
+    Two sets of overlap o >= ceil(sim * size) have their first k common tokens in the first size - ceil(sim * size) + k
+    tokens of either. With pairs, sets of PAIRS_TO tokens or fewer meet on pairs of tokens, which rarely meet by chance;
+    the pairs of larger sets would be too many, so these meet on single tokens, and so does, besides, what is large
+    enough to be similar to one of them.
+    """
     size = F.size(tokens)
-    prefix = F.slice(tokens, 1, F.least(size, size - _overlap_at_least(size, sim) + k))
-    if k == 1:
-        return F.transform(prefix, lambda a: F.xxhash64(a))
-    later = F.transform(prefix, lambda a, i: F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda b: F.xxhash64(a, b)))
-    return F.flatten(later)
+    head = lambda k: F.slice(tokens, 1, F.least(size, size - _overlap_at_least(size, sim) + k))
+    single = F.transform(head(1), lambda a: F.xxhash64(a))
+    if not pairs:
+        return single
+    two = F.transform(head(2), lambda a, i: F.transform(F.slice(head(2), i + 2, size), lambda b: F.xxhash64(a, b)))
+    none = F.array().cast("array<bigint>")
+    return F.concat(F.when(size <= PAIRS_TO, F.flatten(two)).otherwise(none), F.when(size > PAIRS_TO * least, single).otherwise(none))
 
 
 def near_pivots(sets: DataFrame, pivots: DataFrame, least: float, min_size: int) -> DataFrame:
     """Every (space, y, ytok, p, ptok, o): a set of sets(space, id, tokens) and a pivot of pivots(space, id, tokens, sim)
     whose Jaccard similarity is sim at least; o is the size of their overlap. least is the smallest sim of any pivot.
 
-    Two sets of overlap o >= ceil(sim * size) have their first k common tokens in the first size - ceil(sim * size) + k
-    tokens of either, so they meet on that k-subset; what meets is verified.
+    They meet on keys (see _keys), each pair once, and what meets is verified.
     """
-    k = 2 if ceil(least * min_size - EPS) >= 2 else 1
+    pairs = ceil(least * min_size - EPS) >= 2
     # only ids, sizes and keys are shuffled for the meeting; the tokens join what has met, each pair once
-    left = sets.select("space", F.col("id").alias("y"), F.size("tokens").alias("ny"), F.explode(_keys(F.col("tokens"), least, k)).alias("key"))
-    right = pivots.select("space", F.col("id").alias("p"), F.size("tokens").alias("np"), "sim", F.explode(_keys(F.col("tokens"), F.col("sim"), k)).alias("key"))
+    left = sets.select("space", F.col("id").alias("y"), F.size("tokens").alias("ny"), F.explode(_keys(F.col("tokens"), least, least, pairs)).alias("key"))
+    right = pivots.select("space", F.col("id").alias("p"), F.size("tokens").alias("np"), "sim", F.explode(_keys(F.col("tokens"), F.col("sim"), least, pairs)).alias("key"))
     met = salted_join(left, right, ["space", "key"]).filter(F.least("ny", "np") >= F.greatest("ny", "np") * F.col("sim") - EPS)
     met = met.groupBy("space", "y", "p").agg(F.first("sim").alias("sim"))
     met = met.join(sets.select("space", F.col("id").alias("y"), F.col("tokens").alias("ytok")), ["space", "y"])

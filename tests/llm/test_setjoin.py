@@ -28,8 +28,9 @@ def families(seed, n=220, vocabulary=60):
     return sets
 
 
-@pytest.mark.parametrize("seed,t,least,every", [(1, 0.6, 4, 2), (2, 0.6, 4, 8), (3, 0.8, 2, 3), (4, 0.5, 1, 1)])
-def test_all_pairs(spark, seed, t, least, every):
+@pytest.mark.parametrize("seed,t,least,every,to", [(1, 0.6, 4, 2, 48), (2, 0.6, 4, 8, 7), (3, 0.8, 2, 3, 9), (4, 0.5, 1, 1, 48)])
+def test_all_pairs(spark, monkeypatch, seed, t, least, every, to):
+    monkeypatch.setattr(J, "PAIRS_TO", to)
     sets = families(seed)
     rows = [(sp, i, x, "clash", 0) for (sp, i), s in sets.items() for x in s]
     rows += rows[:50] + [("a", None, 1, "", 0), ("a", 9999, None, "", 0)]
