@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwerk.operators.skew import salted_join
 from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
@@ -18,7 +19,7 @@ PASSAGE = 12
 #: Rarest terms of a window that are looked up before the rest is verified (less than PASSAGE).
 RAREST = 5
 #: Words of all items up to which their vocabulary goes to every task; beyond, postings are joined to it.
-MAX_WORDS = 2_000_000
+MAX_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile("[-‐­]\r?\n\\s*")
 _SPELT = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue"})
@@ -105,7 +106,7 @@ def passages(index: DataFrame, wanted: DataFrame, passage: int = PASSAGE) -> Dat
     sides = []
     for t, p in (("t1", "p1"), ("t2", "p2")):
         asked = look.select(F.col(t).alias("term"), "item_id", F.col(p).alias("p")).distinct()
-        hit = index.join(hint(asked), "term").select("doc_id", "item_id", F.col("p").alias(p), F.explode("positions").alias("at"))
+        hit = (index.join(F.broadcast(asked), "term") if small else salted_join(index, asked, ["term"])).select("doc_id", "item_id", F.col("p").alias(p), F.explode("positions").alias("at"))
         sides.append(hit.select("doc_id", "item_id", p, (F.col("at") - F.col(p)).alias("shift")))
     pairs = look.select("item_id", "p1", "p2").distinct()
     both = sides[0].join(hint(pairs), ["item_id", "p1"]).join(sides[1], ["doc_id", "item_id", "shift", "p2"])
@@ -131,8 +132,8 @@ def near_matches(index: DataFrame, wanted: DataFrame, rarest: int = 8, least: in
     order = Window.partitionBy("item_id").orderBy("df", "term")
     first = wanted.groupBy("item_id", "term").agg(F.min("at").alias("at"), F.count("*").alias("k")).filter("k = 1")
     rare = cut(first.join(frequency, "term").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rarest).select("item_id", "term", "at"))
-    asked = F.broadcast(rare) if rare.count() <= MAX_WORDS else rare
-    hits = index.join(asked, "term").select("doc_id", "item_id", "term", "at", F.explode("positions").alias("p")).select("doc_id", "item_id", "term", (F.col("p") - F.col("at")).alias("shift"))
+    met = index.join(F.broadcast(rare), "term") if rare.count() <= MAX_WORDS else salted_join(index, rare, ["term"])
+    hits = met.select("doc_id", "item_id", "term", "at", F.explode("positions").alias("p")).select("doc_id", "item_id", "term", (F.col("p") - F.col("at")).alias("shift"))
     # neighbouring bins overlap, so that any span of slack lies whole in one of them
     binned = hits.select("doc_id", "item_id", "term", F.explode(F.array(F.floor(F.col("shift") / slack), F.floor(F.col("shift") / slack) - 1)).alias("bin"))
     return (
