@@ -129,3 +129,16 @@ def standard_code(c: Column) -> Column:
 def mend_encoding(c: Column) -> Column:
     """UTF-8 that was read as Latin-1, where it shows signs of that, read as UTF-8."""
     return F.when(c.rlike("[ÃÂ][\u0080-¿]"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+
+
+def luminance(c: Column) -> Column:
+    """Relative luminance of a colour as rrggbb."""
+    rgb = hex_rgb(c)
+    part = lambda n: F.when(rgb[n] / 255 <= 0.03928, rgb[n] / 255 / 12.92).otherwise(F.pow((rgb[n] / 255 + 0.055) / 1.055, F.lit(2.4)))
+    return 0.2126 * part("r") + 0.7152 * part("g") + 0.0722 * part("b")
+
+
+def contrast(a: Column, b: Column) -> Column:
+    """Contrast ratio of two colours, 1 to 21."""
+    x, y = luminance(a), luminance(b)
+    return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)

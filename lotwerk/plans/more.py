@@ -233,3 +233,29 @@ def law_headings(s: SparkSession, d: str) -> DataFrame:
     """Article headings found line by line in the law texts."""
     t = table(s, d, "documents", "doc_id", "text", "source").filter("source = 'gesetz'").select("doc_id", F.explode(F.split("text", "\n")).alias("z"))
     return t.filter(F.col("z").rlike(r"^(Art\.|§) [0-9]+")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT DISTINCT form_id id, lower(trim(name)) token FROM data_field WHERE geloescht_am IS NULL AND trim(name) <> ''), c AS (SELECT id, count(*) n FROM m GROUP BY id HAVING count(*) >= 4),
+o AS (SELECT x.id a, y.id b, count(*) o FROM m x JOIN m y ON x.token = y.token AND x.id < y.id GROUP BY ALL), p AS (SELECT a, b FROM o JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE 20 * o >= 7 * (ca.n + cb.n - o)),
+v AS (SELECT least(form_a, form_b) a, greatest(form_a, form_b) b, min(lower(trim(verdict))) verdict FROM form_similarity WHERE form_a <> form_b AND verdict IS NOT NULL GROUP BY ALL)
+SELECT p.a, p.b, v.verdict, v.verdict IS NOT NULL behalten FROM p LEFT JOIN v ON v.a = p.a AND v.b = p.b""")
+def carry_over(s: SparkSession, d: str) -> DataFrame:
+    """A table rebuilt from today's data that keeps what was judged by hand before, by key."""
+    from lotwerk.plans.joins import _name_sets
+
+    pairs = R.jaccard_pairs(_name_sets(s, d), 0.35, 4).select("a", "b")
+    old = table(s, d, "form_similarity", "form_a", "form_b", "verdict").filter("form_a <> form_b and verdict is not null")
+    old = old.groupBy(F.least("form_a", "form_b").alias("a"), F.greatest("form_a", "form_b").alias("b")).agg(F.min(F.lower(F.trim("verdict"))).alias("verdict"))
+    return pairs.join(old, ["a", "b"], "left").withColumn("behalten", F.col("verdict").isNotNull())
+
+
+@query("""WITH r(status, rang) AS (SELECT status, row_number() OVER (ORDER BY status) FROM (SELECT DISTINCT status FROM quellen_zeile WHERE status IS NOT NULL)), n AS (SELECT quelle, max(abzug) abzug FROM quellen_zeile GROUP BY quelle)
+SELECT z.dienststelle, arg_min(z.status, rang) stand, count(DISTINCT z.schluessel) n, array_to_string(list_sort(list(DISTINCT z.quelle)), ',') quellen FROM quellen_zeile z JOIN n ON n.quelle = z.quelle AND n.abzug = z.abzug JOIN r ON r.status = z.status GROUP BY z.dienststelle""")
+def state_precedence(s: SparkSession, d: str) -> DataFrame:
+    """Of several states seen in the newest harvests the first by an order of states, with all sources."""
+    z = table(s, d, "quellen_zeile", "quelle", "abzug", "schluessel", "dienststelle", "status")
+    newest = z.groupBy("quelle").agg(F.max("abzug").alias("abzug"))
+    rank = z.filter("status is not null").select("status").distinct().withColumn("rang", F.row_number().over(Window.orderBy("status")))
+    cur = z.join(F.broadcast(newest), ["quelle", "abzug"]).join(rank, "status")
+    best = F.min(F.struct("rang", "status"))
+    return cur.groupBy("dienststelle").agg(best.getField("status").alias("stand"), F.count_distinct("schluessel").alias("n"), F.array_join(F.sort_array(F.collect_set("quelle")), ",").alias("quellen"))

@@ -136,3 +136,44 @@ def dated_versions(spark: SparkSession, base: str, on: str | None = None) -> Dat
     tags = all_.select("tag").distinct() if on is None else all_.select("tag").distinct().filter(F.col("tag").cast("string") <= on)
     newest = tags.agg(F.max("tag")).first()[0]
     return all_.filter(F.col("tag") == F.lit(newest)).drop("tag")
+
+
+def office_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, part, place, style, text) of .docx paragraphs and .xlsx cells; a file that cannot be read gives one row
+    with part unreadable. Each package is opened whole by one task."""
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    sheet = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def parse(batches):
+        import io
+        import xml.etree.ElementTree as ET
+        import zipfile
+
+        import pandas as pd
+
+        def text(node, tag):
+            return "".join(t.text or "" for t in node.iter(tag))
+
+        for b in batches:
+            out = []
+            for path, raw in zip(b["path"], b["content"]):
+                name = path.rsplit("/", 1)[-1]
+                try:
+                    pack = zipfile.ZipFile(io.BytesIO(raw))
+                    if name.lower().endswith(".docx"):
+                        for i, p in enumerate(ET.fromstring(pack.read("word/document.xml")).iter(f"{word}p")):
+                            style = p.find(f"{word}pPr/{word}pStyle")
+                            out.append((name, "document", str(i), style.get(f"{word}val") if style is not None else None, text(p, f"{word}t")))
+                        continue
+                    shared = [text(x, f"{sheet}t") for x in ET.fromstring(pack.read("xl/sharedStrings.xml")).iter(f"{sheet}si")] if "xl/sharedStrings.xml" in pack.namelist() else []
+                    for part in sorted(n for n in pack.namelist() if n.startswith("xl/worksheets/sheet")):
+                        for c in ET.fromstring(pack.read(part)).iter(f"{sheet}c"):
+                            v = c.findtext(f"{sheet}v")
+                            value = shared[int(v)] if c.get("t") == "s" and v else text(c, f"{sheet}t") or v
+                            out.append((name, part.rsplit("/", 1)[-1][:-4], c.get("r"), c.get("s"), value))
+                except (zipfile.BadZipFile, KeyError, IndexError, ET.ParseError):
+                    out.append((name, "unreadable", None, None, None))
+            yield pd.DataFrame(out, columns=["file", "part", "place", "style", "text"])
+
+    packages = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,xlsx}").load(folder).select("path", "content")
+    return packages.mapInPandas(parse, "file string, part string, place string, style string, text string")

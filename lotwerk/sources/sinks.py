@@ -124,3 +124,22 @@ def write_contract(df: DataFrame, path: str) -> str:
     version = version_after(old["version"], old["schema"], new) if old else "1.0.0"
     json.dump({"version": version, "schema": new}, open(path, "w"), indent=1, sort_keys=True)
     return version
+
+
+def violations(schema: dict, value: object, path: str = "$") -> list[str]:
+    """Where a document breaks a contract: missing or wrongly typed parts, nulls passing as any type."""
+    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float)}
+    if value is None:
+        return []
+    if not isinstance(value, kinds[schema["type"]]) or (isinstance(value, bool) and schema["type"] in ("integer", "number")):
+        return [f"{path} is no {schema['type']}"]
+    out = [f"{path}.{k} is missing" for k in schema.get("required", []) if value.get(k) is None]
+    for k, s in schema.get("properties", {}).items():
+        out += violations(s, value.get(k), f"{path}.{k}")
+    if "items" in schema:
+        for i, x in enumerate(value):
+            out += violations(schema["items"], x, f"{path}[{i}]")
+    if "additionalProperties" in schema:
+        for k, x in value.items():
+            out += violations(schema["additionalProperties"], x, f"{path}.{k}")
+    return out

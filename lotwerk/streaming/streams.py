@@ -122,8 +122,15 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("anfang"), "n")
 
 
-QUERIES = {"stream_windows": stream_windows, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions}
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that arrive more than once, kept once within the watermark: the table streamed with itself."""
+    twice = event_stream(spark, folder).union(event_stream(spark, folder)).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return drained(twice.withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"])).select("event_id")
+
+
+QUERIES = {"stream_dedup": stream_dedup, "stream_windows": stream_windows, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions}
 SQL = {
+    "stream_dedup": "SELECT DISTINCT event_id FROM events",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') tag, event_type, count(*) n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) v FROM events GROUP BY ALL",
     "stream_sliding": "SELECT strftime(t, '%Y-%m-%d') tag, event_type, count(*) n FROM (SELECT event_type, unnest([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) t FROM events) GROUP BY ALL",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END neu FROM events), s AS (SELECT user_id, ts, sum(neu) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g)

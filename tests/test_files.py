@@ -54,6 +54,21 @@ def test_xsd_html_text_and_law(spark, tmp_path):
     assert kinds == {"eCH-0044-4-1.xsd": "schema", "bad.xsd": "schema", "s.txt": "sonstiges"}
 
 
+def test_office_packages(spark, tmp_path):
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    x = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Titel"/></w:pPr><w:r><w:t>Ge</w:t></w:r><w:r><w:t>such</w:t></w:r></w:p><w:p/></w:body></w:document>')
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {x}><si><t>Name</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {x}><sheetData><row><c r="A1" t="s" s="3"><v>0</v></c><c r="B1"><v>7</v></c><c r="C1" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>')
+    (tmp_path / "c.docx").write_bytes(b"kein zip")
+    got = {(r.file, r.place, r.style, r.text) for r in files.office_texts(spark, str(tmp_path)).collect()}
+    assert got == {("a.docx", "0", "Titel", "Gesuch"), ("a.docx", "1", None, ""), ("b.xlsx", "A1", "3", "Name"), ("b.xlsx", "B1", None, "7"), ("b.xlsx", "C1", None, "in"), ("c.docx", None, None, None)}
+
+
 def test_publish(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
@@ -80,6 +95,9 @@ def test_other_sinks(spark, tmp_path):
     path = str(tmp_path / "contract.json")
     assert sinks.write_contract(df, path) == "1.0.0" == sinks.write_contract(df, path)
     assert json.load(open(path))["schema"]["required"] == ["k"]
+    schema = sinks.contract(df)
+    assert sinks.violations(schema, {"k": 1, "v": None}) == []
+    assert sinks.violations(schema, {"v": 3}) == ["$.k is missing", "$.v is no string"]
     assert sinks.write_contract(df.withColumn("n", F.lit(1)), path) == "1.1.0"
     assert sinks.write_contract(df.withColumn("k", F.col("k").cast("string")).withColumn("n", F.lit(1)), path) == "2.0.0"
 
@@ -97,6 +115,8 @@ def test_scalars(spark):
     assert one(spark, S.json_equal(F.col("c"), F.lit('{"b": 2, "a": 1}')), '{"a":1,"b":2}')
     assert one(spark, S.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3)))) == pytest.approx(1 / 3)
     assert one(spark, S.decrypt(S.encrypt(F.col("c"), F.lit("0123456789abcdef")), F.lit("0123456789abcdef")), "geheim") == "geheim"
+    assert one(spark, S.contrast(F.lit("000000"), F.lit("ffffff"))) == pytest.approx(21)
+    assert one(spark, S.mend_encoding(F.col("c")), "GrÃ¶sse") == "Grösse" and one(spark, S.mend_encoding(F.col("c")), "Grösse") == "Grösse"
     assert tuple(one(spark, S.hex_rgb(F.col("c")), "ff8000")) == (255, 128, 0)
 
 
