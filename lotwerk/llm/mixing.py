@@ -142,11 +142,12 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     counts = cut(token_counts(table(spark, folder, "documents", "doc_id", "source", "text")))
     mixed = mix(counts, targets).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("kopie").alias("uses"))
     there = counts.groupBy("source").agg(F.sum("tokens").alias("available"))
-    whole = mixed.agg(F.sum("tokens").alias("whole"))
+    whole = mixed.agg(F.sum("tokens").alias("whole")).withColumn("one", F.lit(1))
     return (
         targets.join(there, "source", "left")
         .join(mixed, "source", "left")
-        .join(F.broadcast(whole))
+        .withColumn("one", F.lit(1))
+        .join(F.broadcast(whole), "one")  # one row
         .select(
             "source",
             "anteil",
