@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwerk.functions.dates import day, day_text
 from lotwerk.operators.skew import checked_join
 from lotwerk.sources.tables import table
 
@@ -69,8 +70,10 @@ def open_pairs(harvests: DataFrame, log: DataFrame) -> DataFrame:
 
 def p7_changes(spark: SparkSession, folder: str) -> DataFrame:
     """The change log as it would go on, with the columns that changed joined by commas."""
-    rows = table(spark, folder, "quellen_zeile", "quelle", "abzug", "schluessel", "gelesen_am", *COMPARED)
-    pairs = open_pairs(table(spark, folder, "quellen_abzug", "quelle", "datum"), table(spark, folder, "quellen_aenderung", "quelle", "abzug"))
+    # harvests are told apart and put in order by their day, whatever its spelling
+    same = lambda df, c: df.withColumn(c, F.coalesce(day_text(day(F.col(c))), c))
+    rows = same(table(spark, folder, "quellen_zeile", "quelle", "abzug", "schluessel", "gelesen_am", *COMPARED), "abzug")
+    pairs = open_pairs(same(table(spark, folder, "quellen_abzug", "quelle", "datum"), "datum"), same(table(spark, folder, "quellen_aenderung", "quelle", "abzug"), "abzug"))
     return snapshot_changes(rows, pairs).withColumn("felder", F.array_join("felder", ","))
 
 
