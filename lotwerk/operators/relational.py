@@ -250,3 +250,14 @@ def edit_pairs(names: DataFrame, most: int, gram: int = 2) -> DataFrame:
     other = near.join(distinct.select(F.col("name").alias("y"), F.length("name").alias("k")), "k").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     d = F.levenshtein("a", "b")
     return met.union(other).distinct().withColumn("d", d).filter(F.col("d") <= most)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str) -> DataFrame:
+    """df with the row number name of each row in its group by order. block rises with order; rows are numbered within
+    blocks and go on from the sizes of the blocks before, so that no window holds more than a block of a group."""
+    placed = df.withColumn("__b", block)
+    sizes = placed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
+    return placed.join(offset, [*keys, "__b"]).withColumn(name, inside + F.col("__o")).drop("__b", "__o")

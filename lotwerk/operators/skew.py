@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +23,18 @@ def skew_join(big: DataFrame, unique: DataFrame, keys: list[str], weight: str |
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
+    columns = [*big.columns, *(c for c in unique.columns if c not in keys)]
+    blank = None
+    if how == "left":  # rows with a null key would all meet in one task, and match nothing
+        whole = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys))
+        blank = big.filter(~whole).select(*big.columns, *(F.lit(None).cast(unique.schema[c].dataType).alias(c) for c in columns[len(big.columns) :]))
+        big = big.filter(whole)
     counts = unique.select(*keys, F.col(weight).alias("__n")) if weight else big.groupBy(*keys).agg(F.count("*").alias("__n"))
     heavy = counts.orderBy(F.desc("__n"), *keys).limit(HEAVY).select(*keys)
     big_hot, big_rest = (big.join(F.broadcast(heavy), keys, kind) for kind in ("left_semi", "left_anti"))
     some = unique.join(F.broadcast(heavy), keys, "left_semi")
-    columns = [*big.columns, *(c for c in unique.columns if c not in keys)]
-    return (
-        big_hot.join(F.broadcast(some), keys, how)
-        .select(*columns)
-        .unionByName(big_rest.join(unique, keys, how).select(*columns))
-    )
+    out = big_hot.join(F.broadcast(some), keys, how).select(*columns).unionByName(big_rest.join(unique, keys, how).select(*columns))
+    return out if blank is None else out.unionByName(blank)
 
 
 #: Rows of a key from which salted_join splits it.

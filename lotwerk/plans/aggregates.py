@@ -197,8 +197,8 @@ def attribute_catalogue(s: SparkSession, d: str) -> DataFrame:
 def serial_numbers(s: SparkSession, d: str) -> DataFrame:
     """Serial numbers per parent that go on after the highest ever given."""
     o = table(s, d, "orders", "o_custkey", "o_orderkey", "o_orderdate")
-    nr = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) + F.col("o_custkey") % 5
-    return o.select("o_custkey", "o_orderkey", F.concat(F.lit("feld:"), nr.cast("string")).alias("nr"))
+    nr = R.numbered(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.date_trunc("year", "o_orderdate"), "nr")
+    return nr.select("o_custkey", "o_orderkey", F.concat(F.lit("feld:"), (F.col("nr") + F.col("o_custkey") % 5).cast("string")).alias("nr"))
 
 
 @query("WITH k AS (SELECT form_id, lower(trim(name)) n, min((ord, id)) o FROM data_field WHERE name IS NOT NULL GROUP BY ALL) SELECT form_id, n, row_number() OVER (PARTITION BY form_id ORDER BY o) ord FROM k")

@@ -34,6 +34,10 @@ def test_skew_joins(spark, monkeypatch):
     for how in ("inner", "left"):
         assert rows(skew.skew_join(big, small, ["k"], how=how).select("i", "v", "w").na.fill(-1)) == rows(big.join(small, "k", how).select("i", "v", "w").na.fill(-1))
         assert rows(skew.skew_join(big, small, ["k"], weight="w", how=how).select("i", "v").na.fill(-1)) == rows(big.join(small, "k", how).select("i", "v").na.fill(-1))
+    gaps = big.withColumn("k", F.when(F.col("i") % 4 > 0, F.col("k")))
+    for w in (None, "w"):
+        assert rows(skew.skew_join(gaps, small, ["k"], w, "left").select("i", "v", "w").na.fill(-1)) == rows(gaps.join(small, "k", "left").select("i", "v", "w").na.fill(-1))
+    assert rows(skew.checked_join(gaps, small, ["k"], "left", 0).select("i", "v").na.fill(-1)) == rows(gaps.join(small, "k", "left").select("i", "v").na.fill(-1))
     many = small.union(small)
     assert rows(skew.salted_join(big, many, ["k"], 20).select("i", "v")) == rows(big.join(many, "k").select("i", "v"))
     with pytest.raises(ValueError):
