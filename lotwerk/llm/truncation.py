@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwerk.functions.text import fold
 from lotwerk.operators.skew import checked_join
 from lotwerk.session import cut
 from lotwerk.sources.tables import table
@@ -24,7 +25,7 @@ CUT_MARK = r"(?:</?[A-Za-z][^<>]{0,40}>|…|\.{3,}|\[\s?(?:…|\.{3})\s?\]|\(\s?
 CLOSING = r"(?i)(?:\([^()]{1,40}\)|(?:^|[.!?»)]\s+)(?:ende|schluss|fin|fine|end|usw|etc))$"
 ABBREVIATION = r"(?:^|[\s(])(?:Art|Abs|Ziff|lit|Nr|Fr|CHF|vgl|bzw|ca|z|z\.\s?B|d|d\.\s?h|p|p\.\s?ex|ch|no|al|let|n|cpv|cfr|cf|e\.g|i\.e)\.$"
 OPEN_DATE = r"(?:^|\s)(?:(?:0?[1-9]|[12]\d|3[01])\.(?:0?[1-9]|1[0-2])\.|(?:am|dem|vom|zum|den|le|il|dal)\s\d{1,2}\.)$"
-TERMINAL = r"[.!?][\"'»”“’)\]]*$|[\w,;]\s?[»”]$"
+TERMINAL = r"[.!?][\"'»”“’)\]]*$|[\p{L}\p{N},;]\s?[»”]$"
 NOTE_LINE = r"^\s*(?:[-•*–—»>]|\[[ xX]?\]|\d+\)\s|[a-z]\)\s|\||[-=_*]{3,}$)|^\s*[A-ZÄÖÜÉÈÀ][\w.\- ]{0,30}:\s|\|\s*$|^\s*(?:Seite|Page|Pagina) \d|^\s*Tel\."
 DATE_LINE = r"^[^.!?]{1,40}\d{1,2}\.\d{1,2}\.\d{4}$"
 WHITE = " \t\n\r\f ​﻿�"
@@ -48,10 +49,10 @@ def _spikes(lengths: DataFrame) -> DataFrame:
 
 
 def _spelt(text: Column) -> Column:
-    """The words of a text: lower case, umlauts spelt out, words broken at a line end whole."""
-    t = F.lower(F.regexp_replace(text, r"-\r?\n\s*", ""))
-    for x, y in (("ä", "ae"), ("ö", "oe"), ("ü", "ue")):
-        t = F.replace(t, F.lit(x), F.lit(y))
+    """The words of a text without accents, umlauts in any spelling alike, words broken at a line end whole."""
+    t = fold(F.regexp_replace(text, r"-\r?\n\s*", ""))
+    for x in ("ae", "oe", "ue"):
+        t = F.replace(t, F.lit(x), F.lit(x[0]))
     return F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
