@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwerk.functions.text import norm_name
-from lotwerk.operators.skew import salted_join, skew_join
+from lotwerk.operators.skew import checked_join, salted_join, skew_join
 from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
@@ -22,9 +22,9 @@ EPS = 1e-9
 
 def sets_of(rows: DataFrame) -> DataFrame:
     """rows(space, id, tok long) as (space, id, tokens): a record's distinct tokens, rarest first, ties by token."""
-    member = rows.filter("id is not null and tok is not null").select("space", "id", "tok").distinct()
+    member = cut(rows.filter("id is not null and tok is not null").select("space", "id", "tok").distinct())
     frequency = member.groupBy("space", "tok").agg(F.count("*").alias("df"))
-    ranked = skew_join(member, frequency, ["space", "tok"], weight="df")
+    ranked = checked_join(member, frequency, ["space", "tok"])
     return ranked.groupBy("space", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("tokens"))
 
 
