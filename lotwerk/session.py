@@ -50,3 +50,9 @@ def drop(df: DataFrame | None) -> None:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that cut() wrote to the shared folder; for the end of a pipeline, when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lotwerk")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
