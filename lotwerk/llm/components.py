@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwerk.operators.skew import skew_join
+from lotwerk.operators.skew import MAX_LOOKUP, skew_join
 from lotwerk.session import cut, drop
 from lotwerk.sources.tables import table
 
@@ -20,25 +20,28 @@ def connected_groups(links: DataFrame) -> DataFrame:
     next round's graph, linked with each other where one vertex was given several. The children form a forest; when no
     links remain, the seeds flow down it, the round that dropped out last first.
 
-    Hot vertices: minima combine before the shuffle, and they come back to the links by skew_join. Links of a vertex
-    with itself give a group of one; null ends are left out; repeated and reversed links count once. Empty: no rows.
+    Hot vertices: minima combine before the shuffle, and they come back to the links by a counted broadcast or
+    skew_join. Links of a vertex with itself give a group of one; null ends are left out; repeated and reversed links count once. Empty: no rows.
     """
     ok = links.filter("a is not null and b is not null").select("a", "b")
     vertices = ok.select(F.col("a").alias("v")).union(ok.select("b")).distinct()
     edges = cut(ok.union(ok.select(F.col("b"), F.col("a"))).toDF("u", "v").filter("u <> v").distinct())
     dropped: list[DataFrame] = []
+
+    def spread(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(of), "u") if of.count() <= MAX_LOOKUP else skew_join(rows, of, ["u"], weight="n")
+
     while not edges.isEmpty():
         # edges holds both directions; the minimum of N(u) and u goes to u and to all of N(u)
-        least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        told = skew_join(edges, least, ["u"], weight="n").select("v", "m").union(least.select("u", "m")).distinct().toDF("u", "m")
-        told = cut(told)
-        best = told.groupBy("u").agg(F.min("m").alias("top"), F.max(F.col("m") == F.col("u")).alias("chosen"), F.count("*").alias("n"))
+        least = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        told = cut(spread(edges, least).select("v", "m").union(least.select("u", "m")).distinct().toDF("u", "m"))
+        best = cut(told.groupBy("u").agg(F.min("m").alias("top"), F.max(F.col("m") == F.col("u")).alias("chosen"), F.count("*").alias("n")))
         child = cut(best.filter("not chosen").select(F.col("u").alias("v"), F.col("top").alias("parent")))
         dropped.append(child)
-        pairs = skew_join(told, best.filter("n > 1").select("u", "top", "n"), ["u"], weight="n").filter("m <> top").select(F.col("m").alias("a"), F.col("top").alias("b"))
+        pairs = spread(told, best.filter("n > 1").select("u", "top", "n")).filter("m <> top").select(F.col("m").alias("a"), F.col("top").alias("b"))
         following = cut(pairs.union(pairs.select("b", "a")).toDF("u", "v").distinct())
-        drop(edges)
-        drop(told)
+        for old in (edges, told, least, best):
+            drop(old)
         edges = following
     rooted = None
     for child in reversed(dropped):

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from lotwerk.llm import components
 from lotwerk.llm.components import connected_groups
 
 ROW = "a long, b long, v string, m int"
@@ -29,7 +32,9 @@ def run(spark, links):
     return set(got)
 
 
-def test_random(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_random(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "MAX_LOOKUP", most)
     rnd = random.Random(1)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(5, None), (None, None), (7, 7), (1000, 1000)]
     links += links[:40] + [(b, a) for a, b in links[:40]]
