@@ -122,23 +122,48 @@ def passages(index: DataFrame, wanted: DataFrame, passage: int = PASSAGE) -> Dat
     return runs.filter(F.col("n") >= passage).groupBy("doc_id", "item_id").agg(F.max("n").cast("int").alias("longest"))
 
 
-def near_matches(index: DataFrame, wanted: DataFrame, rarest: int = 8, least: int = 6, slack: int = 5) -> DataFrame:
-    """(doc_id, item_id, n_terms): texts where least or more of an item's rarest terms stand about as far apart as in it.
-
-    A term's place in the text less its place in the item is its shift; terms whose shifts lie within slack of each
-    other count together, so that inserted, left out or changed words between them do no harm.
+def near_matches(index: DataFrame, wanted: DataFrame, rarest: int = 8, least: int = 6, slack: int = 5, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, item_id, n_terms): texts where least or more of the rarest words of a part of an item stand about as far
+    apart as in it, and the most that do. The parts are every window of passage words, and the whole item by the words it
+    has once.
+
+    A word's place in the text less its place in the item is its shift; words whose shifts lie within slack of each
+    other count together, so that inserted, left out or changed words between them do no harm. A word of the text counts
+    once. Windows are looked up by the words of which two must stand if least of all do; the rest is fetched for what is left.
     """
     frequency = index.groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
-    order = Window.partitionBy("item_id").orderBy("df", "term")
-    first = wanted.groupBy("item_id", "term").agg(F.min("at").alias("at"), F.count("*").alias("k")).filter("k = 1")
-    rare = cut(first.join(frequency, "term").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rarest).select("item_id", "term", "at"))
-    met = index.join(F.broadcast(rare), "term") if rare.count() <= MAX_WORDS else salted_join(index, rare, ["term"])
-    hits = met.select("doc_id", "item_id", "term", "at", F.explode("positions").alias("p")).select("doc_id", "item_id", "term", (F.col("p") - F.col("at")).alias("shift"))
+    known = cut(wanted.join(frequency, "term", "left"))
+    item = Window.partitionBy("item_id")
+    ahead = item.orderBy("at").rangeBetween(0, passage - 1)
+    # words that no text has are left out of a window
+    word = F.when(F.col("df").isNotNull(), F.struct("df", "term", "at"))
+    spans = known.select("item_id", "at", F.max("at").over(item).alias("last"), F.collect_list(word).over(ahead).alias("words"))
+    spans = spans.filter((F.col("at") + passage - 1 <= F.col("last")) | (F.col("at") == 0)).select("item_id", "words")
+    once = known.groupBy("item_id", "term").agg(F.min("at").alias("at"), F.min("df").alias("df"), F.count("*").alias("k")).filter("k = 1")
+    whole = once.groupBy("item_id").agg(F.collect_list(word).alias("words"))
+    parts = cut(spans.unionByName(whole).select("item_id", F.slice(F.array_sort("words"), 1, rarest).alias("rare")).filter(F.size("rare") >= least).distinct())
+    need = min(2, least)
+    asked = parts.select("item_id", F.posexplode("rare").alias("r", "x")).groupBy("item_id", "x.term", "x.at").agg((F.min("r") < rarest - least + need).alias("early"))
+    asked = cut(asked)
+    small = asked.count() <= MAX_WORDS
+    early = asked.filter("early").drop("early")
+    met = index.join(F.broadcast(early), "term") if small else salted_join(index, early, ["term"])
+    hits = met.select("doc_id", "item_id", "at", F.explode("positions").alias("p")).select("doc_id", "item_id", "at", (F.col("p") - F.col("at")).alias("shift"))
     # neighbouring bins overlap, so that any span of slack lies whole in one of them
-    binned = hits.select("doc_id", "item_id", "term", F.explode(F.array(F.floor(F.col("shift") / slack), F.floor(F.col("shift") / slack) - 1)).alias("bin"))
-    return (
-        binned.groupBy("doc_id", "item_id", "bin").agg(F.count_distinct("term").alias("n")).filter(F.col("n") >= least).groupBy("doc_id", "item_id").agg(F.max("n").cast("int").alias("n_terms"))
-    )
+    bin_ = F.floor(F.col("shift") / slack)
+    begun = hits.select("doc_id", "item_id", "at", F.explode(F.array(bin_, bin_ - 1)).alias("bin")).groupBy("doc_id", "item_id", "bin").agg(F.size(F.collect_set("at")).alias("n"))
+    begun = cut(begun.filter(F.col("n") >= need).drop("n"))
+    hint = F.broadcast if small else (lambda x: x)
+    far = begun.join(hint(asked.drop("early")), "item_id").join(index, ["doc_id", "term"])
+    inside = F.filter("positions", lambda p: F.floor((p - F.col("at")) / slack).between(F.col("bin"), F.col("bin") + 1))
+    stood = far.select("doc_id", "item_id", "bin", "term", "at", inside.alias("p")).filter(F.size("p") > 0)
+    groups = stood.groupBy("doc_id", "item_id", "bin").agg(F.collect_list(F.struct("term", "at", "p")).alias("met")).filter(F.size("met") >= least)
+    # a term counts as often as it stands in the part and in the text
+    both = groups.join(hint(parts.select("item_id", F.col("rare.at").alias("part"))), "item_id")
+    both = both.select("doc_id", "item_id", F.filter("met", lambda m: F.array_contains("part", m["at"])).alias("met")).filter(F.size("met") >= least)
+    same = lambda t: F.filter("met", lambda m: m["term"] == t)
+    n = F.aggregate(F.array_distinct("met.term"), F.lit(0), lambda n, t: n + F.least(F.size(same(t)), F.size(F.array_distinct(F.flatten(F.transform(same(t), lambda m: m["p"]))))))
+    return both.select("doc_id", "item_id", n.alias("n")).filter(F.col("n") >= least).groupBy("doc_id", "item_id").agg(F.max("n").cast("int").alias("n_terms"))
 
 
 def leaks(documents: DataFrame, items: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -162,7 +187,7 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts with most of an item's rarest terms in about their distances."""
+    """Texts with most of the rarest words of an item, or of any PASSAGE-word window of it, in about their distances."""
     wanted = cut(item_words(table(spark, folder, "pruefaufgabe", "item_id", "text")).distinct())
     return near_matches(build_index(table(spark, folder, "documents", "doc_id", "text"), wanted.select("term")), wanted)
 

@@ -1,8 +1,10 @@
 """Problem 8 against shingles."""
 
+import os
 import random
 
 import pytest
+from compare import FOLDER
 
 from lotwerk.llm import leaks as L
 
@@ -65,3 +67,32 @@ def test_index_without_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_WORDS", 0)
     some = L.build_index(docs, spark.createDataFrame([("zwei",), ("drei",)], "term string"))
     assert [r.term for r in some.collect()] == ["zwei"]
+
+
+def test_near_finds_parts(spark):
+    rnd = random.Random(3)
+    items = [(i, " ".join(rnd.choices([f"w{i}x{k}" for k in range(60)] + [f"v{k}" for k in range(30)] + ["der", "die"] * 15, k=rnd.randint(40, 89)))) for i in range(30)]
+    items.append((90, "der die " * 20))
+    docs, changed = [], set()
+    for d in range(240):
+        i, text = items[d % len(items)]
+        w = text.split()
+        a = rnd.randrange(len(w) - 12)
+        part = w[a : a + (12 if d % 2 else rnd.randint(12, 30))]
+        if d % 3 == 0:  # a word changed in every 12
+            part = [x if k % 12 != 5 else "neu" for k, x in enumerate(part)]
+            changed.add((d, i))
+        filler = rnd.choices([f"f{k}" for k in range(200)] + ["der", "die"] * 20, k=60)
+        docs.append((d, " ".join(filler[:30] + part + filler[30:])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    wanted = L.item_words(frames[1]).distinct()
+    near = {(r.doc_id, r.item_id): r.n_terms for r in L.near_matches(L.build_index(frames[0], wanted.select("term")), wanted).collect()}
+    assert brute(docs, items, 12) <= set(near)
+    assert {(d, i) for d, i in changed if i != 90} <= set(near)
+    assert all(6 <= n <= 8 for n in near.values())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_near_holds_found(spark):
+    found, near = ({(r.doc_id, r.item_id) for r in L.QUERIES[q](spark, FOLDER).collect()} for q in ("p8_found", "p8_near"))
+    assert found and found <= near
