@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,6 +254,33 @@ def edit_pairs(names: DataFrame, most: int, gram: int = 2) -> DataFrame:
     return met.union(other).distinct().withColumn("d", d).filter(F.col("d") <= most)
 
 
+def _ratio(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in pairs:
+        yield b.assign(ratio=[SequenceMatcher(None, x, y).ratio() for x, y in zip(b["a"], b["b"])])
+
+
+def ratio_pairs(names: DataFrame, least: float, gram: int = 2) -> DataFrame:
+    """(a, b, ratio): all ordered pairs a <> b of distinct names(name) whose difflib ratio is least (over 0.8) or more.
+
+    A ratio leaves (1 - least) * (length of a + length of b) letters unmatched at most, and lengths 2 / least - 1 apart;
+    so many insertions and deletions touch gram times as many of a name's numbered grams, and the rarest ones beyond are shared.
+    """
+    distinct = names.filter("name is not null and name <> ''").select("name").distinct()
+    cells = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - gram + 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(gram)))
+    # a gram's second occurrence is another gram than its first
+    numbered_ = F.transform(cells, lambda x, i: F.concat_ws("/", F.size(F.filter(F.slice(cells, 1, i + 1), lambda y: y == x)).cast("string"), x))
+    grams = distinct.select("name", F.explode(numbered_).alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    ranked = grams.join(counts, "g").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("gs"))
+    touched = (F.floor((1 - least) * (2 / least) * F.length("name") + 1e-9) * gram + 1).cast("int")
+    posted = ranked.select("name", F.length("name").alias("l"), F.explode(F.slice("gs", F.lit(1), touched)).alias("k"))
+    met = posted.select(F.col("name").alias("a"), F.col("l").alias("la"), "k").join(posted.select(F.col("name").alias("b"), F.col("l").alias("lb"), "k"), "k")
+    met = met.filter((F.col("a") < F.col("b")) & (2 * F.least("la", "lb") >= (least - 1e-9) * (F.col("la") + F.col("lb")))).select("a", "b").distinct()
+    near = met.filter(F.levenshtein("a", "b") <= (1 - least) * (F.length("a") + F.length("b")) + 1e-9)
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return near.repartition("a").mapInPandas(_ratio, "a string, b string, ratio double").filter(F.col("ratio") >= least)
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str) -> DataFrame:
     """df with the row number name of each row in its group by order. block rises with order; rows are numbered within
     blocks and go on from the sizes of the blocks before, so that no window holds more than a block of a group."""

@@ -33,6 +33,25 @@ def edit_pairs(s: SparkSession, d: str) -> DataFrame:
     return R.edit_pairs(table(s, d, "dvsh_organisation", "name").select(F.lower("name").alias("name")), 2)
 
 
+def best_spelling_of(names: DataFrame, least: float = 0.88) -> DataFrame:
+    """(name, best, ratio, n): for every name of names(name) the other one most like it by the ratio of their normalised
+    forms without parentheses, ties by frequency n, then the first; least at least."""
+    key = norm_name(F.regexp_replace("name", r"\s*\(.*?\)", ""))
+    counted = names.filter("name is not null").groupBy("name").agg(F.count("*").alias("n")).withColumn("key", key).filter("key <> ''")
+    keys = counted.select("key").distinct()
+    pairs = R.ratio_pairs(keys.select(F.col("key").alias("name")), least).unionByName(keys.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("ratio")))
+    other = counted.select(F.col("key").alias("a"), F.col("name").alias("best"), "n")
+    met = counted.select(F.col("key").alias("b"), "name").join(pairs, "b").join(other, "a").filter("name <> best")
+    best = F.min(F.struct((-F.col("ratio")).alias("r"), (-F.col("n")).alias("m"), "best", "ratio", "n"))
+    return met.groupBy("name").agg(best.alias("x")).select("name", "x.best", "x.ratio", "x.n")
+
+
+@query(None)
+def best_spelling(s: SparkSession, d: str) -> DataFrame:
+    """Every organisation's name with the other spelling most like it."""
+    return best_spelling_of(table(s, d, "dvsh_organisation", "name"))
+
+
 @query(None)
 def greedy_match(s: SparkSession, d: str) -> DataFrame:
     """Forms matched one to one by their name sets, the most alike first."""
