@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwerk.functions import scalars as S
@@ -150,6 +151,42 @@ def letter_windows(s: SparkSession, d: str) -> DataFrame:
     return w.select("item_id", F.size(parts).cast("long").alias("n"), F.size(F.filter(parts, lambda p: F.contains("t", p))).cast("long").alias("hits"))
 
 
+#: Letters of a window of text evidence, and windows of a text at most.
+LETTERS, WINDOWS = 40, 6
+
+
+def letters_only(text: Column) -> Column:
+    """The letters of a text, lower-cased and composed, ß as ss."""
+    t = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    for x in "äöüéèàâêîôûç":
+        t = F.replace(t, F.lit(unicodedata.normalize("NFD", x)), F.lit(x))
+    return F.regexp_replace(t, r"[a-z]\p{M}+|[^a-zäöüéèàâêîôûç]", "")
+
+
+def evidence(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, hits, gefunden, vollstaendig of pairs(*keys, excerpt, other): up to WINDOWS windows of LETTERS letters spread over
+    the excerpt (all of it when shorter), and how many of them the other text holds; excerpts without letters have none."""
+    e = F.col("e")
+    step = F.greatest(F.lit(LETTERS), F.floor((F.length(e) - LETTERS) / 5)).cast("int")
+    spread = F.transform(F.slice(F.sequence(F.lit(0), F.length(e) - LETTERS, step), 1, WINDOWS), lambda i: F.substring(e, i + 1, F.lit(LETTERS)))
+    t = pairs.select(*keys, letters_only(F.col("excerpt")).alias("e"), letters_only(F.col("other")).alias("v")).filter("e <> ''")
+    t = t.withColumn("w", F.when(F.length(e) > LETTERS, spread).otherwise(F.array(e)))
+    t = t.select(*keys, F.size("w").cast("long").alias("n"), F.size(F.filter("w", lambda x: F.contains("v", x))).cast("long").alias("hits"))
+    return t.withColumns({"gefunden": F.col("hits") > 0, "vollstaendig": F.col("hits") == F.col("n")})
+
+
+@query("""WITH h AS (SELECT quelle, schluessel, abzug, arg_max(kurzbeschreibung, (gelesen_am, kurzbeschreibung)) t FROM quellen_zeile WHERE kurzbeschreibung IS NOT NULL GROUP BY ALL),
+l AS (SELECT quelle, schluessel, abzug, regexp_replace(replace(nfc_normalize(lower(t)), 'ß', 'ss'), '[^a-zäöüéèàâêîôûç]', '', 'g') e FROM h), p AS (SELECT *, lag(e) OVER (PARTITION BY quelle, schluessel ORDER BY abzug) v FROM l),
+w AS (SELECT *, CASE WHEN length(e) <= 40 THEN [e] ELSE list_transform(range(0, length(e) - 39, greatest(40, (length(e) - 40) // 5))[1:6], lambda i: substr(e, i + 1, 40)) END w FROM p WHERE v IS NOT NULL AND e <> ''),
+x AS (SELECT quelle, schluessel, abzug, len(w) n, len(list_filter(w, lambda y: contains(v, y))) hits FROM w) SELECT *, hits > 0 gefunden, hits = n vollstaendig FROM x""")
+def letter_evidence(s: SparkSession, d: str) -> DataFrame:
+    """Each harvest's short description searched, window by window, in the one of the harvest before."""
+    q = table(s, d, "quellen_zeile", "quelle", "schluessel", "abzug", "gelesen_am", "kurzbeschreibung").filter("kurzbeschreibung is not null")
+    h = q.groupBy("quelle", "schluessel", "abzug").agg(F.max(F.struct("gelesen_am", "kurzbeschreibung")).getField("kurzbeschreibung").alias("excerpt"))
+    before = F.lag("excerpt").over(Window.partitionBy("quelle", "schluessel").orderBy("abzug"))
+    return evidence(h.withColumn("other", before).filter("other is not null"), ["quelle", "schluessel", "abzug"])
+
+
 @query("SELECT DISTINCT ech_standard_code code, 'eCH-' || lpad(regexp_extract(ech_standard_code, '([0-9]+)', 1), 4, '0') kanon, ech_standard_code = 'eCH-' || lpad(regexp_extract(ech_standard_code, '([0-9]+)', 1), 4, '0') gleich FROM data_field WHERE ech_standard_code IS NOT NULL")
 def code_canonical(s: SparkSession, d: str) -> DataFrame:
     """Standard codes in their canonical spelling."""

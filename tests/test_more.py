@@ -27,3 +27,12 @@ def test_best_spelling(spark):
                 want[x] = min(want.get(x, (0,)), (-r, -n[y], y))
     got = {r.name: (-r.ratio, -r.n, r.best) for r in M.best_spelling_of(spark.createDataFrame([(x,) for x in names], "name string")).collect()}
     assert got == want and got["Betreibungsamt und Konkursamt Schaffhausen"][2] == "Betreibungs und Konkursamt Schaffhausen"
+
+
+def test_letter_evidence(spark):
+    rnd = random.Random(1)
+    t = "".join(rnd.choices("abcdefghäöü", k=400))
+    rows = [("ganz", t, "x" + t), ("mitte", t, t[60:200]), ("fremd", t, "q" * 900), ("kurz", "Bu\u0308ro, Straße 1", "das bürostrasse"), ("leer", "12 3", t), ("anfang", t, t[:-1]), ("knapp", t[:79], t[:45])]
+    got = {r.id: tuple(r)[1:] for r in M.evidence(spark.createDataFrame(rows, "id string, excerpt string, other string"), ["id"]).collect()}
+    want = {"ganz": (6, 6, True, True), "mitte": (6, 2, True, False), "fremd": (6, 0, False, False), "kurz": (1, 1, True, True), "anfang": (6, 5, True, False), "knapp": (1, 1, True, True)}
+    assert got == want
