@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import uuid
 
@@ -12,7 +13,7 @@ from lotwerk.functions import scalars as S
 from lotwerk.functions.text import norm_name
 from lotwerk.operators import relational as R
 from lotwerk.plans.registry import registry
-from lotwerk.session import shared_folder
+from lotwerk.session import cut, drop, shared_folder
 from lotwerk.sources import files, sinks
 from lotwerk.sources.tables import table
 
@@ -61,17 +62,29 @@ def greedy_match(s: SparkSession, d: str) -> DataFrame:
     return R.greedy_one_to_one(R.jaccard_pairs(_name_sets(s, d), 0.35, 4), "a", "b", "jaccard")
 
 
+def follow_chains(links: DataFrame) -> DataFrame:
+    """(kennung, stand, schritte, zyklus) of links(kennung, abgeloest_durch), of chains of any length: doubling until no row
+    moves. What moves after more steps than there are rows is on a cycle or leads to one."""
+    k = links.groupBy("kennung").agg(F.max("abgeloest_durch").alias("nach"))
+    step = cut(k.select("kennung", F.coalesce("nach", "kennung").alias("stand"), F.col("nach").isNotNull().cast("long").alias("n"), F.col("nach").isNotNull().alias("moves")))
+    for _ in range(max(1, math.ceil(math.log2(step.count() + 1)))):
+        if step.filter("moves").isEmpty():
+            break
+        before = step
+        ahead = step.select(F.col("kennung").alias("stand"), F.col("stand").alias("weiter"), F.col("n").alias("m"), F.col("moves").alias("on"))
+        done = step.filter("not moves")
+        on = step.filter("moves").join(ahead, "stand", "left").select("kennung", F.coalesce("weiter", "stand").alias("stand"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("on", F.lit(False)).alias("moves"))
+        step = cut(done.unionByName(on))
+        drop(before)
+    return step.select("kennung", "stand", F.col("n").alias("schritte"), F.col("moves").alias("zyklus"))
+
+
 @query("""WITH RECURSIVE k AS (SELECT kennung, max(abgeloest_durch) nach FROM kennung GROUP BY kennung), r AS (SELECT kennung, kennung AS stand, 0 n FROM k UNION ALL SELECT r.kennung, k.nach, n + 1 FROM r JOIN k ON k.kennung = r.stand WHERE k.nach IS NOT NULL AND n < 50)
 SELECT kennung, stand, CAST(n AS BIGINT) schritte FROM r QUALIFY row_number() OVER (PARTITION BY kennung ORDER BY n DESC) = 1""")
 def resolve_identifiers(s: SparkSession, d: str) -> DataFrame:
-    """Every identifier followed to its last successor, fifty steps at most: doubling, so six joins."""
-    k = table(s, d, "kennung", "kennung", "abgeloest_durch").groupBy("kennung").agg(F.max("abgeloest_durch").alias("nach"))
-    known = k.select(F.col("kennung").alias("nach"), F.lit(True).alias("there"))
-    step = k.join(known, "nach", "left").select("kennung", F.when(F.col("nach").isNotNull(), F.col("nach")).otherwise(F.col("kennung")).alias("stand"), F.col("nach").isNotNull().cast("long").alias("n"))
-    for _ in range(6):
-        ahead = step.select(F.col("kennung").alias("stand"), F.col("stand").alias("weiter"), F.col("n").alias("m"))
-        step = step.join(ahead, "stand", "left").select("kennung", F.coalesce("weiter", "stand").alias("stand"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-    return step.select("kennung", "stand", F.col("n").alias("schritte"))
+    """Every identifier followed to its last successor; one that runs into a cycle has none: stand and schritte are null."""
+    ends = follow_chains(table(s, d, "kennung", "kennung", "abgeloest_durch"))
+    return ends.select("kennung", F.when(~F.col("zyklus"), F.col("stand")).alias("stand"), F.when(~F.col("zyklus"), F.col("schritte")).alias("schritte"))
 
 
 @query("""WITH o AS (SELECT unnest(CAST(unterlagen AS JSON[])) x FROM quellen_zeile WHERE unterlagen IS NOT NULL), k AS (SELECT unnest(json_keys(x)) pfad, x FROM o) SELECT pfad, count(*) n, count(DISTINCT json_type(x, '$.' || pfad)) typen FROM k GROUP BY pfad""")

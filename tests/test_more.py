@@ -36,3 +36,11 @@ def test_letter_evidence(spark):
     got = {r.id: tuple(r)[1:] for r in M.evidence(spark.createDataFrame(rows, "id string, excerpt string, other string"), ["id"]).collect()}
     want = {"ganz": (6, 6, True, True), "mitte": (6, 2, True, False), "fremd": (6, 0, False, False), "kurz": (1, 1, True, True), "anfang": (6, 5, True, False), "knapp": (1, 1, True, True)}
     assert got == want
+
+
+def test_chains_of_any_length(spark):
+    rows = [(f"a{i}", f"a{i + 1}") for i in range(200)] + [("a200", None)] + [("x", "y"), ("y", "z"), ("z", "y"), ("s", "s"), ("w", "weg"), (None, "a0"), ("a0", "a1")]
+    got = {r.kennung: (r.stand, r.schritte, r.zyklus) for r in M.follow_chains(spark.createDataFrame(rows, "kennung string, abgeloest_durch string")).collect()}
+    assert all(got[f"a{i}"] == ("a200", 200 - i, False) for i in range(201))
+    assert {k for k, v in got.items() if v[2]} == {"x", "y", "z", "s"}
+    assert got["w"] == ("weg", 1, False) and got[None] == ("a200", 201, False)
