@@ -28,6 +28,9 @@ OPEN_DATE = r"(?:^|\s)(?:(?:0?[1-9]|[12]\d|3[01])\.(?:0?[1-9]|1[0-2])\.|(?:am|de
 TERMINAL = r"[.!?][\"'»”“’)\]]*$|[\p{L}\p{N},;]\s?[»”]$"
 NOTE_LINE = r"^\s*(?:[-•*–—»>]|\[[ xX]?\]|\d+\)\s|[a-z]\)\s|\||[-=_*]{3,}$)|^\s*[A-ZÄÖÜÉÈÀ][\w.\- ]{0,30}:\s|\|\s*$|^\s*(?:Seite|Page|Pagina) \d|^\s*Tel\."
 DATE_LINE = r"^[^.!?]{1,40}\d{1,2}\.\d{1,2}\.\d{4}$"
+#: A number at the end of a text, its digits told apart from its signs, and a day, which is whole in any number of digits.
+END_NUMBER = r"((?:\d[\d .,:'’/+–-]{0,30})?\d)$"
+END_DAY = r"(?:^|[^\d.])\d{1,2}\.\d{1,2}\.\d{4}$"
 WHITE = " \t\n\r\f ​﻿�"
 
 
@@ -68,7 +71,7 @@ def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
 
     Per source, length histograms in characters and, of the texts at no spike of characters, in bytes are tested for
     spikes; a text at a spike's length that has no terminal punctuation is cut, unless its last line is a note (below)
-    whose last word is one that lines of the corpus end with. Any other text is cut if what remains without marks put
+    whose last word, or the shape of whose last number, is one that lines of the corpus end with (numbers: lines before a text's last). Any other text is cut if what remains without marks put
     behind the cut ends without terminal punctuation, or in an abbreviation or an unfinished date, unless its last line
     is a note: a list item, table row, labelled or dated line, a line of a block of short lines, a closing remark, or
     one that opens like lines that hardly ever end a sentence in the whole corpus. A text that ends in a quotation from
@@ -83,7 +86,9 @@ def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     last = F.substring_index("bare", "\n", -1)
     nth = lambda n: F.when(F.regexp_count("bare", F.lit("\n")) >= n - 1, F.substring_index(F.substring_index("bare", "\n", -n), "\n", 1))
     first_word = lambda line: F.regexp_extract(line, r"^[^\p{L}]*(\p{L}+)", 1)
-    last_word = lambda line: F.regexp_extract(line, r"(\p{L}+)[^\p{L}\p{N}]*$", 1)
+    number = lambda line: F.regexp_replace(F.regexp_extract(line, END_NUMBER, 1), r"\d", "0")
+    # of a line that ends in a digit the shape of its number; a text's last line shows no shapes, it may be cut itself
+    last_word = lambda line: F.when(line.rlike(r"\d$"), number(line)).otherwise(F.regexp_extract(line, r"(\p{L}+)[^\p{L}\p{N}]*$", 1))
     before = F.rtrim(nth(2), F.lit(WHITE))
     end = _spelt(F.right("bare", F.lit(300)))
     # everything that the text itself is needed for, in one pass; the rest works on this narrow table
@@ -93,9 +98,10 @@ def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
         F.coalesce((F.trim(nth(3)) == "") | F.right(F.rtrim(nth(3), F.lit(WHITE)), F.lit(60)).rlike(TERMINAL), F.lit(False)).alias("opens_block"), first_word(last).alias("word"), last_word(F.right(last, F.lit(200))).alias("end_word"),
         F.array_join(F.slice(end, F.greatest(F.size(end) - QUOTED + 1, F.lit(1)), QUOTED), " ").alias("end"),
     ))
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.rtrim("line", F.lit(WHITE)).alias("line")).filter("line <> ''")
+    split = docs.select(F.split(F.rtrim("text", F.lit(WHITE)), "\n").alias("l")).select(F.size("l").alias("of"), F.posexplode("l").alias("i", "line"))
+    lines = split.select(F.rtrim("line", F.lit(WHITE)).alias("line"), (F.col("i") + 1 == F.col("of")).alias("is_last")).filter("line <> ''")
     full = F.right(F.col("line"), F.lit(60)).rlike(TERMINAL)
-    sides = F.array(F.struct(F.lit(True).alias("opens"), first_word(F.col("line")).alias("word")), F.struct(F.lit(False).alias("opens"), last_word(F.right("line", F.lit(60))).alias("word")))
+    sides = F.array(F.struct(F.lit(True).alias("opens"), first_word(F.col("line")).alias("word")), F.struct(F.lit(False).alias("opens"), F.when(F.col("is_last") & F.col("line").rlike(r"\d$"), F.lit("")).otherwise(last_word(F.right("line", F.lit(200)))).alias("word")))
     words = lines.select(F.explode(sides).alias("x"), full.alias("full")).groupBy("x.opens", "x.word").agg(F.count("*").alias("seen"), F.count_if("full").alias("full"))
     known = max(SEEN, round(SEEN_SHARE * facts.count()))
     words = cut(words.filter(F.col("seen") >= known))
@@ -125,7 +131,7 @@ def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     closed = text.rlike(CLOSING)
     note = (text.rlike(NOTE_LINE) | block | opens_notes | dated) & ~several | closed
     spike = sure(F.col("at_chars")) | sure(F.col("at_bytes"))
-    whole_word = (F.col("end_word") == "") | F.col("end_seen").isNotNull()
+    whole_word = (F.col("end_word") == "") | F.col("end_seen").isNotNull() | text.rlike(END_DAY)
     decided = F.col("marked") | (spike & ~(note & whole_word)) | ~note
     return ended_rows.unionByName(open_.select("doc_id", "source", (decided & ~closed & (F.col("marked") | ~sure(F.col("quoted")))).alias("cut")))
 

@@ -49,3 +49,13 @@ def test_quotations(spark):
     rows = [(1, "q", "Satz. Laut vermerk 9 HAT olk", "", 0), (2, "q", "Satz. Laut Vermerk 9 hat Ol", "", 0), (3, "q", "Satz. olk die Auflage nie", "", 0), (4, "q", "Satz. Laut Vermerk 9 hat Olk …", "", 0), (5, "q", "Satz. die Auf-\n lage nie erfu\u0308llt", "", 0), (6, "q", "die auflage nie erfuellt", "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, cut string, s int")
     assert {r.doc_id: r.cut for r in judged(df, quote).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
+
+
+def test_number_cut_at_a_spike(spark):
+    rows = [(i, "a", "Tel. 052 632 71 10\nSatz." + "x" * i * 3 + ".\n\nTel. 052 632 71 1" + str(i % 10), "", 0) for i in range(40)]  # whole numbers, lengths without a spike
+    for i in range(12):  # a limit of 100 characters, the number whole or cut
+        note = "\n\nTel. 052 632 71 " + str(10 + i) if i < 6 else "\n\nTel. 052 632 7"
+        rows.append((100 + i, "a", ("Satz " + "y" * i + ". " + "z" * 200)[: 99 - len(note)] + "." + note, "", 0))
+    got = {r.doc_id: r.cut for r in run(spark, rows).collect()}
+    assert not any(got[i] for i in [*range(40), *range(100, 106)])
+    assert all(got[i] for i in range(106, 112))
