@@ -22,7 +22,8 @@ QUOTED = 4
 SEEN, SEEN_SHARE, SENTENCE_SHARE = 5, 5e-5, 0.1
 #: What is put behind a cut (white space apart), remarks that close a text, abbreviations no sentence ends with.
 CUT_MARK = r"(?:</?[A-Za-z][^<>]{0,40}>|…|\.{3,}|\[\s?(?:…|\.{3})\s?\]|\(\s?(?:…|\.{3}|mehr|weiter|suite|more|continua|segue)\s?\))"
-CLOSING = r"(?i)(?:\([^()]{1,40}\)|(?:^|[.!?»)]\s+)(?:ende|schluss|fin|fine|end|usw|etc))$"
+CLOSING = r"(?i)(?:\((?:ende|schluss|fin|fine|end|usw|etc)\.?\)|(?:^|[.!?»)]\s+)(?:ende|schluss|fin|fine|end|usw|etc))$"
+AFTER_SENTENCE = r"[.!?»]\s+\([^()]{1,40}\)$"
 ABBREVIATION = r"(?:^|[\s(])(?:Art|Abs|Ziff|lit|Nr|Fr|CHF|vgl|bzw|ca|z|z\.\s?B|d|d\.\s?h|p|p\.\s?ex|ch|no|al|let|n|cpv|cfr|cf|e\.g|i\.e)\.$"
 OPEN_DATE = r"(?:^|\s)(?:(?:0?[1-9]|[12]\d|3[01])\.(?:0?[1-9]|1[0-2])\.|(?:am|dem|vom|zum|den|le|il|dal)\s\d{1,2}\.)$"
 TERMINAL = r"[.!?][\"'»”“’)\]]*$|[\p{L}\p{N},;]\s?[»”]$"
@@ -73,9 +74,10 @@ def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     spikes; a text at a spike's length that has no terminal punctuation is cut, unless its last line is a note (below)
     whose last word, or the shape of whose last number, is one that lines of the corpus end with (numbers: lines before a text's last). Any other text is cut if what remains without marks put
     behind the cut ends without terminal punctuation, or in an abbreviation or an unfinished date, unless its last line
-    is a note: a list item, table row, labelled or dated line, a line of a block of short lines, a closing remark, or
-    one that opens like lines that hardly ever end a sentence in the whole corpus. A text that ends in a quotation from
-    quotes(text), on a whole word, is not cut: the quotation was broken off, the text is all there.
+    is a note: a list item, table row, labelled or dated line, a line of a block of short lines, or one that opens like
+    lines that hardly ever end a sentence in the whole corpus, or it ends in parentheses after a finished sentence, or
+    on a whole word of a quotation from quotes(text): the quotation was broken off, the text is all there. A spike and a
+    mark win over parentheses and quotations; a fixed closing remark, as (Schluss), is never cut.
 
     Null and empty texts, and those of white space only, are not judged; a null source is a source; repeated rows are
     judged each; an empty table gives no rows.
@@ -129,11 +131,12 @@ def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     dated = text.rlike(DATE_LINE) & (F.coalesce("full", F.lit(0)) == 0)
     several = text.rlike(r"[.!?][\"'»”)]*\s+\p{Lu}") & ~text.startswith("|")
     closed = text.rlike(CLOSING)
-    note = (text.rlike(NOTE_LINE) | block | opens_notes | dated) & ~several | closed
+    note = (text.rlike(NOTE_LINE) | block | opens_notes | dated) & ~several
+    aside = text.rlike(AFTER_SENTENCE)
     spike = sure(F.col("at_chars")) | sure(F.col("at_bytes"))
     whole_word = (F.col("end_word") == "") | F.col("end_seen").isNotNull() | text.rlike(END_DAY)
-    decided = F.col("marked") | (spike & ~(note & whole_word)) | ~note
-    return ended_rows.unionByName(open_.select("doc_id", "source", (decided & ~closed & (F.col("marked") | ~sure(F.col("quoted")))).alias("cut")))
+    decided = F.col("marked") | (spike & ~(note & whole_word)) | ~(note | aside | sure(F.col("quoted")))
+    return ended_rows.unionByName(open_.select("doc_id", "source", (decided & ~closed).alias("cut")))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,3 +59,15 @@ def test_number_cut_at_a_spike(spark):
     got = {r.doc_id: r.cut for r in run(spark, rows).collect()}
     assert not any(got[i] for i in [*range(40), *range(100, 106)])
     assert all(got[i] for i in range(106, 112))
+
+
+def test_spike_and_mark_win(spark):
+    quote = spark.createDataFrame([("Laut Vermerk 9 hat Olk die Auflage nie erfüllt.",)], "text string")
+    rows = [(i, "a", "Satz." + "x" * i * 3 + ".", "", 0) for i in range(40)]
+    for i in range(12):  # a limit of 100 characters, at a word's end in a quotation or after parentheses
+        tail = ". Laut Vermerk 9 hat Olk" if i % 2 else ". Dies gilt (vgl. Ziff. 4)"
+        rows.append((100 + i, "a", "Satz " + "y" * (95 - len(tail)) + tail, "", 0))
+    rows += [(200, "b", "Das gilt hier (vgl. Ziff. 4) …", "", 0), (201, "b", "Das gilt hier. (vgl. Ziff. 4)", "", 0), (202, "b", "Das gilt hier. (Schluss)", "", 0), (203, "b", "Das gilt hier (vgl. Ziff. 4)", "", 0)]
+    got = {r.doc_id: r.cut for r in judged(spark.createDataFrame(rows, "doc_id long, source string, text string, cut string, s int"), quote).collect()}
+    assert all(got[100 + i] for i in range(12))
+    assert [got[i] for i in range(200, 204)] == [True, False, False, True]
