@@ -31,6 +31,7 @@ NOTE_LINE = r"^\s*(?:[-•*–—»>]|\[[ xX]?\]|\d+\)\s|[a-z]\)\s|\||[-=_*]{3,}
 DATE_LINE = r"^[^.!?]{1,40}\d{1,2}\.\d{1,2}\.\d{4}$"
 #: A number at the end of a text, its digits told apart from its signs, and a day, which is whole in any number of digits.
 END_NUMBER = r"((?:\d[\d .,:'’/+–-]{0,30})?\d)$"
+SEVERAL = r"[.!?][\"'»”)]*\s+\p{Lu}"
 END_DAY = r"(?:^|[^\d.])\d{1,2}\.\d{1,2}\.\d{4}$"
 WHITE = " \t\n\r\f ​﻿�"
 
@@ -96,7 +97,7 @@ def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     # everything that the text itself is needed for, in one pass; the rest works on this narrow table
     facts = cut(docs.select(
         "doc_id", "s", "source", "marked", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), ended.alias("ended"),
-        F.right(last, F.lit(200)).alias("last"), F.length(last).alias("last_len"), F.right(before, F.lit(60)).alias("before"), F.length(before).alias("before_len"),
+        F.right(last, F.lit(200)).alias("last"), last.rlike(NOTE_LINE).alias("note_line"), last.rlike(DATE_LINE).alias("date_line"), (last.rlike(SEVERAL) & ~last.startswith("|")).alias("several"), F.length(last).alias("last_len"), F.right(before, F.lit(60)).alias("before"), F.length(before).alias("before_len"),
         F.coalesce((F.trim(nth(3)) == "") | F.right(F.rtrim(nth(3), F.lit(WHITE)), F.lit(60)).rlike(TERMINAL), F.lit(False)).alias("opens_block"), first_word(last).alias("word"), last_word(F.right(last, F.lit(200))).alias("end_word"),
         F.array_join(F.slice(end, F.greatest(F.size(end) - QUOTED + 1, F.lit(1)), QUOTED), " ").alias("end"),
     ))
@@ -128,10 +129,9 @@ def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     text = F.col("last")
     block = sure(F.col("before_len").between(1, 30) & (F.col("last_len") <= 40) & ~F.col("before").rlike(TERMINAL + r"|[\d§]") & F.col("opens_block"))
     opens_notes = sure(F.col("full") <= SENTENCE_SHARE * F.col("seen")) & (F.col("word") != "") & text.rlike(r"\S\s+\S")
-    dated = text.rlike(DATE_LINE) & (F.coalesce("full", F.lit(0)) == 0)
-    several = text.rlike(r"[.!?][\"'»”)]*\s+\p{Lu}") & ~text.startswith("|")
+    dated = F.col("date_line") & (F.coalesce("full", F.lit(0)) == 0)
     closed = text.rlike(CLOSING)
-    note = (text.rlike(NOTE_LINE) | block | opens_notes | dated) & ~several
+    note = (F.col("note_line") | block | opens_notes | dated) & ~F.col("several")
     aside = text.rlike(AFTER_SENTENCE)
     spike = sure(F.col("at_chars")) | sure(F.col("at_bytes"))
     whole_word = (F.col("end_word") == "") | F.col("end_seen").isNotNull() | text.rlike(END_DAY)

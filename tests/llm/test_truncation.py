@@ -71,3 +71,8 @@ def test_spike_and_mark_win(spark):
     got = {r.doc_id: r.cut for r in judged(spark.createDataFrame(rows, "doc_id long, source string, text string, cut string, s int"), quote).collect()}
     assert all(got[100 + i] for i in range(12))
     assert [got[i] for i in range(200, 204)] == [True, False, False, True]
+
+
+def test_long_last_lines(spark):
+    rows = [(1, "q", "Satz.\n- " + "wort " * 60 + "ende", "", 0), (2, "q", "Satz.\nDer " + "wort " * 60 + "- " + "wort " * 39 + "wort", "", 0), (3, "q", "Satz.\nDer " + "x" * 60 + " - " + "w" * 198, "", 0)]
+    assert {r.doc_id: r.cut for r in run(spark, rows).collect()} == {1: False, 2: True, 3: True}
