@@ -10,18 +10,20 @@ from lotwerk.operators.skew import checked_join
 from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
-#: A length is a spike of its source if it has so many texts at least, and more than the mean of the 2 * NEAR lengths
-#: about it by SIGMAS standard deviations of a Poisson count.
+#: A length is a spike of its source and column if it has so many values at least, and more than the mean of the 2 * NEAR
+#: lengths about it by SIGMAS standard deviations of a Poisson count.
 LEAST, NEAR, SIGMAS = 5, 10, 6
 #: Bytes that a cut at a byte limit may leave free because the next character does not fit.
 BYTE_SLACK = 3
-#: Words at the end of a text that must stand in a quoted text for the end to be a quotation.
-QUOTED = 4
-#: A word that opens or ends lines is known if it does so SEEN times, and SEEN_SHARE times the number of texts; a line
-#: opening is one of notes, not of sentences, if it is known and leads to a full stop in so small a share.
-SEEN, SEEN_SHARE, SENTENCE_SHARE = 5, 5e-5, 0.1
+#: Words at the end of a text that must stand in a quoted text for the end to be a quotation, and pieces between white space
+#: at its end in which they are looked for: words broken at line ends and signs take several.
+QUOTED, PIECES = 4, 12
+#: A line opening is known if lines of SEEN texts have it at least, and is one of notes, not of sentences, if so small a share
+#: of these lines ends in a full stop.
+SEEN, SENTENCE_SHARE = 5, 0.1
 #: What is put behind a cut (white space apart), remarks that close a text, abbreviations no sentence ends with.
-CUT_MARK = r"(?:</?[A-Za-z][^<>]{0,40}>|…|\.{3,}|\[\s?(?:…|\.{3})\s?\]|\(\s?(?:…|\.{3}|mehr|weiter|suite|more|continua|segue)\s?\))"
+WHITE = " \t\n\r\f ​﻿�"
+CUT_MARK = r"</?[A-Za-z][^<>]{0,40}>|…|(?<!\.)\.{3,}|\[\s?(?:…|\.{3})\s?\]|\(\s?(?:…|\.{3}|mehr|weiter|suite|more|continua|segue)\s?\)"
 CLOSING = r"(?i)(?:\((?:ende|schluss|fin|fine|end|usw|etc)\.?\)|(?:^|[.!?»)]\s+)(?:ende|schluss|fin|fine|end|usw|etc))$"
 AFTER_SENTENCE = r"[.!?»]\s+\([^()]{1,40}\)$"
 ABBREVIATION = r"(?:^|[\s(])(?:Art|Abs|Ziff|lit|Nr|Fr|CHF|vgl|bzw|ca|z|z\.\s?B|d|d\.\s?h|p|p\.\s?ex|ch|no|al|let|n|cpv|cfr|cf|e\.g|i\.e)\.$"
@@ -33,24 +35,124 @@ DATE_LINE = r"^[^.!?]{1,40}\d{1,2}\.\d{1,2}\.\d{4}$"
 END_NUMBER = r"((?:\d[\d .,:'’/+–-]{0,30})?\d)$"
 SEVERAL = r"[.!?][\"'»”)]*\s+\p{Lu}"
 END_DAY = r"(?:^|[^\d.])\d{1,2}\.\d{1,2}\.\d{4}$"
-WHITE = " \t\n\r\f ​﻿�"
 
 
-def _bare(docs: DataFrame) -> DataFrame:
-    """docs with bare, the text without white space and marks of a cut at its end, and marked, whether such a mark stood there."""
-    behind = f"(?:[{WHITE}]+|{CUT_MARK})+$"
-    docs = docs.withColumn("t", F.rtrim("text", F.lit(WHITE))).withColumn("tail", F.right("t", F.lit(200)))
-    docs = docs.withColumn("behind", F.regexp_extract("tail", behind, 0))
-    bare = F.left("t", F.length("t") - F.length("behind"))
-    return docs.select("doc_id", "source", "text", bare.alias("bare"), (F.rtrim("behind", F.lit(WHITE)) != "").alias("marked"))
+def spikes(lengths: DataFrame) -> DataFrame:
+    """(source, spalte, n, k, mean) of lengths(source, spalte, n), a row a value: the lengths at which the histogram of the
+    source's column has a spike. A window has one row a length."""
+    count = lengths.groupBy("source", "spalte", "n").agg(F.count("*").alias("k"))
+    about = Window.partitionBy("source", "spalte").orderBy("n").rangeBetween(-NEAR, NEAR)
+    mean = (F.sum("k").over(about) - F.col("k")) / (2 * NEAR)
+    return count.withColumn("mean", mean).filter((F.col("k") >= LEAST) & (F.col("k") > F.col("mean") + SIGMAS * F.sqrt(F.col("mean") + 0.1)))
 
 
-def _spikes(lengths: DataFrame) -> DataFrame:
-    """(source, n) of lengths(source, n) where the histogram has a spike; a window has one row a length."""
-    count = lengths.groupBy("source", "n").agg(F.count("*").alias("k"))
-    about = Window.partitionBy("source").orderBy("n").rangeBetween(-NEAR, NEAR)
-    mean = (F.sum("k").over(about) - F.col("k")) / (2 * NEAR)
-    return count.withColumn("mean", mean).filter((F.col("k") >= LEAST) & (F.col("k") > F.col("mean") + SIGMAS * F.sqrt(F.col("mean") + 0.1))).select("source", "n")
+def length_spikes(values: DataFrame) -> DataFrame:
+    """values(id, source, spalte, chars, bytes, ...), a row a text value, with grenze: zeichen, bytes or null, the unit in
+    which the value's length is a limit.
+
+    A field that holds at most n characters leaves the texts cut by it at exactly n, the greatest length it has, so the
+    histogram of a source and column has a spike there: one for each field that the column was filled from, as a source
+    may deliver several. Lengths in characters are tested first; of the values at no spike of characters the lengths in
+    bytes are, where a cut may fall up to BYTE_SLACK bytes short of the limit.
+    """
+    key = ["s", "spalte"]
+    v = values.withColumn("s", F.coalesce("source", F.lit("")))
+    found = lambda rows, unit: spikes(rows.select(F.col("s").alias("source"), "spalte", F.col(unit).alias("n"))).select(F.col("source").alias("s"), "spalte", "n")
+    at_chars = found(v, "chars").select(*key, F.col("n").alias("chars"), F.lit(True).alias("__c"))
+    v = checked_join(v, at_chars, [*key, "chars"], how="left")
+    slack = F.explode(F.sequence(F.col("n") - BYTE_SLACK, F.col("n")))
+    at_bytes = found(v.filter("__c is null"), "bytes").select(*key, slack.alias("bytes")).distinct().withColumn("__b", F.lit(True))
+    v = checked_join(v, at_bytes, [*key, "bytes"], how="left")
+    return v.withColumn("grenze", F.when(F.col("__c"), "zeichen").when(F.col("__b"), "bytes")).drop("s", "__c", "__b")
+
+
+def _last_word(line: Column) -> Column:
+    """A line's last word; of a line that ends in a digit the shape of its number."""
+    number = F.regexp_replace(F.regexp_extract(line, END_NUMBER, 1), r"\d", "0")
+    return F.when(line.rlike(r"\d$"), number).otherwise(F.regexp_extract(line, r"(\p{L}+)[^\p{L}\p{N}]*$", 1))
+
+
+def _first_word(line: Column) -> Column:
+    return F.regexp_extract(line, r"^[^\p{L}]*(\p{L}+)", 1)
+
+
+def endings(documents: DataFrame) -> DataFrame:
+    """What the ends of documents(doc_id, source, text) show, one narrow row a text, from the whole text.
+
+    The end is what stands before white space and marks put behind a cut. Null and empty texts, and those of white space
+    only, give no row.
+    """
+    behind = f"(?:(?<![{WHITE}])[{WHITE}]++|{CUT_MARK})+$"
+    t = F.rtrim("text", F.lit(WHITE))
+    docs = documents.select("doc_id", "source", "text", t.alias("t")).withColumn("behind", F.regexp_extract("t", behind, 0))
+    docs = docs.withColumn("bare", F.rtrim(F.left("t", F.length("t") - F.length("behind")), F.lit(WHITE))).filter("bare <> ''")
+    last = F.substring_index("bare", "\n", -1)
+    nth = lambda n: F.when(F.regexp_count("bare", F.lit("\n")) >= n - 1, F.rtrim(F.substring_index(F.substring_index("bare", "\n", -n), "\n", 1), F.lit(WHITE)))
+    before, above = nth(2), nth(3)
+    return docs.select(
+        "doc_id",
+        "source",
+        F.lit("text").alias("spalte"),
+        F.length("text").cast("long").alias("chars"),
+        F.octet_length("text").cast("long").alias("bytes"),
+        (F.rtrim("behind", F.lit(WHITE)) != "").alias("marked"),
+        (last.rlike(TERMINAL) & ~last.rlike(ABBREVIATION) & ~last.rlike(OPEN_DATE)).alias("ended"),
+        last.rlike(NOTE_LINE).alias("note_line"),
+        last.rlike(DATE_LINE).alias("date_line"),
+        (last.rlike(SEVERAL) & ~last.startswith("|")).alias("several"),
+        last.rlike(r"\S\s+\S").alias("words"),
+        last.rlike(CLOSING).alias("closed"),
+        last.rlike(AFTER_SENTENCE).alias("aside"),
+        last.rlike(END_DAY).alias("end_day"),
+        # a line of a block of short lines, as of an address
+        F.coalesce(
+            F.length(before).between(1, 30) & (F.length(last) <= 40) & ~before.rlike(TERMINAL + r"|[\d§]") & ((F.trim(above) == "") | above.rlike(TERMINAL)), F.lit(False)
+        ).alias("block"),
+        _first_word(last).alias("word"),
+        _last_word(last).alias("end_word"),
+        F.reverse(F.regexp_extract(F.reverse("bare"), rf"^\S+(?:\s+\S+){{0,{PIECES - 1}}}", 0)).alias("end"),
+    )
+
+
+def line_words(documents: DataFrame) -> DataFrame:
+    """(opens, word, seen, full): words that open lines of all texts, how many lines have them and how many of these end in
+    a full stop; and words and shapes of numbers that end lines. A text's last line shows no ends: it may be cut itself;
+    neither does a line that breaks a word."""
+    split = documents.select(F.split(F.rtrim("text", F.lit(WHITE)), "\n").alias("l")).select(F.size("l").alias("of"), F.posexplode("l").alias("i", "line"))
+    lines = split.select(F.rtrim("line", F.lit(WHITE)).alias("line"), (F.col("i") + 1 == F.col("of")).alias("is_last")).filter("line <> ''")
+    no_end = F.col("is_last") | F.col("line").rlike("[-‐­]$")
+    sides = F.array(F.struct(F.lit(True).alias("opens"), _first_word(F.col("line")).alias("word")), F.struct(F.lit(False).alias("opens"), F.when(~no_end, _last_word(F.col("line"))).alias("word")))
+    words = lines.select(F.explode(sides).alias("x"), F.col("line").rlike(TERMINAL).alias("full")).filter("x.word <> ''")
+    return words.groupBy("x.opens", "x.word").agg(F.count("*").alias("seen"), F.count_if("full").alias("full"))
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, cut, weg, end) of documents(doc_id, source, text) with a text.
+
+    1. Length spikes (see length_spikes): a value at a limit's length without terminal punctuation is cut (weg grenze). A
+       check follows: if its last line is a note (below) whose last word, or the shape of whose last number, ends lines
+       elsewhere in the corpus, nothing is broken off.
+    2. Cuts in transfer have any length, so no histogram shows them: of the other texts one is cut if a mark of a cut
+       stands behind its end (weg marke), or if it ends without terminal punctuation, or in an abbreviation or an
+       unfinished date (weg ende), unless its last line is a note: a list item, table row, labelled or dated line, a line
+       of a block of short lines, or one that opens like lines that hardly ever end a sentence in the whole corpus; or
+       it ends in parentheses after a finished sentence. A fixed closing remark, as (Schluss), is never cut.
+
+    Every test looks at the whole text and at whole lines, of any length. Null and empty texts, and those of white space
+    only, are not judged; a null source is a source; repeated rows are judged each; an empty table gives no rows.
+    """
+    facts = cut(length_spikes(cut(endings(documents))))
+    words = cut(line_words(documents).filter(f"not opens or seen >= {SEEN}"))
+    rest = facts.filter("not ended")
+    rest = checked_join(rest, words.filter("opens").select("word", (F.col("full") <= SENTENCE_SHARE * F.col("seen")).alias("notes"), (F.col("full") > 0).alias("sentences")), ["word"], how="left")
+    rest = checked_join(rest, words.filter("not opens").select(F.col("word").alias("end_word"), F.lit(True).alias("whole")), ["end_word"], how="left")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    note = (F.col("note_line") | F.col("block") | (sure(F.col("notes")) & F.col("words")) | (F.col("date_line") & ~sure(F.col("sentences")))) & ~F.col("several")
+    whole_word = (F.col("end_word") == "") | sure(F.col("whole")) | F.col("end_day")
+    way = F.when(F.col("closed"), F.lit(None)).when(F.col("grenze").isNotNull() & ~(note & whole_word), "grenze").when(F.col("marked"), "marke").when(~(note | F.col("aside")), "ende")
+    out = rest.select("doc_id", "source", way.alias("weg"), "end")
+    out = facts.filter("ended").select("doc_id", "source", F.lit(None).cast("string").alias("weg"), "end").unionByName(out)
+    return out.select("doc_id", "source", F.col("weg").isNotNull().alias("cut"), "weg", "end")
 
 
 def _spelt(text: Column) -> Column:
@@ -61,93 +163,54 @@ def _spelt(text: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def quoted_ends(quotes: DataFrame) -> DataFrame:
-    """(end): every run of QUOTED words of quotes(text), joined by blanks."""
+def not_quoted(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+    """rows of judged() without the verdict ende where the text ends on a whole word of a quotation from quotes(text): the
+    quotation was broken off by whoever quotes, the text is all there. Limits and marks stay."""
     words = quotes.select(_spelt(F.col("text")).alias("w")).filter(F.size("w") >= QUOTED)
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - QUOTED + 1), lambda i: F.array_join(F.slice("w", i, QUOTED), " "))
-    return words.select(F.explode(runs).alias("end")).distinct()
+    known = words.select(F.explode(runs).alias("q")).distinct().withColumn("quoted", F.lit(True))
+    w = _spelt(F.col("end"))
+    asked = F.when(F.col("weg") == "ende", F.array_join(F.slice(w, F.greatest(F.size(w) - QUOTED + 1, F.lit(1)), QUOTED), " "))
+    out = checked_join(rows.withColumn("q", asked), known, ["q"], how="left")
+    weg = F.when(F.col("quoted").isNull(), F.col("weg"))
+    return out.select("doc_id", "source", weg.isNotNull().alias("cut"), weg.alias("weg"), "end")
 
 
-def judged(documents: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
-    """(doc_id, source, cut) of documents(doc_id, source, text) with a text.
-
-    Per source, length histograms in characters and, of the texts at no spike of characters, in bytes are tested for
-    spikes; a text at a spike's length that has no terminal punctuation is cut, unless its last line is a note (below)
-    whose last word, or the shape of whose last number, is one that lines of the corpus end with (numbers: lines before a text's last). Any other text is cut if what remains without marks put
-    behind the cut ends without terminal punctuation, or in an abbreviation or an unfinished date, unless its last line
-    is a note: a list item, table row, labelled or dated line, a line of a block of short lines, or one that opens like
-    lines that hardly ever end a sentence in the whole corpus, or it ends in parentheses after a finished sentence, or
-    on a whole word of a quotation from quotes(text): the quotation was broken off, the text is all there. A spike and a
-    mark win over parentheses and quotations; a fixed closing remark, as (Schluss), is never cut.
-
-    Null and empty texts, and those of white space only, are not judged; a null source is a source; repeated rows are
-    judged each; an empty table gives no rows.
-    """
-    docs = _bare(documents).withColumn("s", F.coalesce("source", F.lit(""))).filter("bare <> ''")
-    tail = F.right(F.col("bare"), F.lit(60))
-    ended = tail.rlike(TERMINAL) & ~tail.rlike(ABBREVIATION) & ~tail.rlike(OPEN_DATE)
-    last = F.substring_index("bare", "\n", -1)
-    nth = lambda n: F.when(F.regexp_count("bare", F.lit("\n")) >= n - 1, F.substring_index(F.substring_index("bare", "\n", -n), "\n", 1))
-    first_word = lambda line: F.regexp_extract(line, r"^[^\p{L}]*(\p{L}+)", 1)
-    number = lambda line: F.regexp_replace(F.regexp_extract(line, END_NUMBER, 1), r"\d", "0")
-    # of a line that ends in a digit the shape of its number; a text's last line shows no shapes, it may be cut itself
-    last_word = lambda line: F.when(line.rlike(r"\d$"), number(line)).otherwise(F.regexp_extract(line, r"(\p{L}+)[^\p{L}\p{N}]*$", 1))
-    before = F.rtrim(nth(2), F.lit(WHITE))
-    end = _spelt(F.right("bare", F.lit(300)))
-    # everything that the text itself is needed for, in one pass; the rest works on this narrow table
-    facts = cut(docs.select(
-        "doc_id", "s", "source", "marked", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), ended.alias("ended"),
-        F.right(last, F.lit(200)).alias("last"), last.rlike(NOTE_LINE).alias("note_line"), last.rlike(DATE_LINE).alias("date_line"), (last.rlike(SEVERAL) & ~last.startswith("|")).alias("several"), F.length(last).alias("last_len"), F.right(before, F.lit(60)).alias("before"), F.length(before).alias("before_len"),
-        F.coalesce((F.trim(nth(3)) == "") | F.right(F.rtrim(nth(3), F.lit(WHITE)), F.lit(60)).rlike(TERMINAL), F.lit(False)).alias("opens_block"), first_word(last).alias("word"), last_word(F.right(last, F.lit(200))).alias("end_word"),
-        F.array_join(F.slice(end, F.greatest(F.size(end) - QUOTED + 1, F.lit(1)), QUOTED), " ").alias("end"),
-    ))
-    split = docs.select(F.split(F.rtrim("text", F.lit(WHITE)), "\n").alias("l")).select(F.size("l").alias("of"), F.posexplode("l").alias("i", "line"))
-    lines = split.select(F.rtrim("line", F.lit(WHITE)).alias("line"), (F.col("i") + 1 == F.col("of")).alias("is_last")).filter("line <> ''")
-    full = F.right(F.col("line"), F.lit(60)).rlike(TERMINAL)
-    sides = F.array(F.struct(F.lit(True).alias("opens"), first_word(F.col("line")).alias("word")), F.struct(F.lit(False).alias("opens"), F.when(F.col("is_last") & F.col("line").rlike(r"\d$"), F.lit("")).otherwise(last_word(F.right("line", F.lit(200)))).alias("word")))
-    words = lines.select(F.explode(sides).alias("x"), full.alias("full")).groupBy("x.opens", "x.word").agg(F.count("*").alias("seen"), F.count_if("full").alias("full"))
-    known = max(SEEN, round(SEEN_SHARE * facts.count()))
-    words = cut(words.filter(F.col("seen") >= known))
-    at_chars = _spikes(facts.select(F.col("s").alias("source"), F.col("chars").alias("n"))).select(F.col("source").alias("s"), F.col("n").alias("chars"), F.lit(True).alias("at_chars"))
-    facts = checked_join(facts, at_chars, ["s", "chars"], how="left")
-    rest = facts.filter("at_chars is null")
-    at_bytes = (
-        _spikes(rest.select(F.col("s").alias("source"), F.col("bytes").alias("n")))
-        .select(F.col("source").alias("s"), F.explode(F.sequence(F.col("n") - BYTE_SLACK, F.col("n"))).alias("bytes"))
-        .distinct()
-        .withColumn("at_bytes", F.lit(True))
-    )
-    ended_rows = facts.filter("ended").select("doc_id", "source", F.lit(False).alias("cut"))
-    open_ = checked_join(facts.filter("not ended"), at_bytes, ["s", "bytes"], how="left")
-    open_ = checked_join(open_, words.filter("opens").drop("opens"), ["word"], how="left")
-    open_ = checked_join(open_, words.filter("not opens").select(F.col("word").alias("end_word"), F.col("seen").alias("end_seen")), ["end_word"], how="left")
-    if quotes is not None:
-        open_ = checked_join(open_, quoted_ends(quotes).withColumn("quoted", F.lit(True)), ["end"], how="left")
-    else:
-        open_ = open_.withColumn("quoted", F.lit(None).cast("boolean"))
-    sure = lambda c: F.coalesce(c, F.lit(False))
-    text = F.col("last")
-    block = sure(F.col("before_len").between(1, 30) & (F.col("last_len") <= 40) & ~F.col("before").rlike(TERMINAL + r"|[\d§]") & F.col("opens_block"))
-    opens_notes = sure(F.col("full") <= SENTENCE_SHARE * F.col("seen")) & (F.col("word") != "") & text.rlike(r"\S\s+\S")
-    dated = F.col("date_line") & (F.coalesce("full", F.lit(0)) == 0)
-    closed = text.rlike(CLOSING)
-    note = (F.col("note_line") | block | opens_notes | dated) & ~F.col("several")
-    aside = text.rlike(AFTER_SENTENCE)
-    spike = sure(F.col("at_chars")) | sure(F.col("at_bytes"))
-    whole_word = (F.col("end_word") == "") | F.col("end_seen").isNotNull() | text.rlike(END_DAY)
-    decided = F.col("marked") | (spike & ~(note & whole_word)) | ~(note | aside | sure(F.col("quoted")))
-    return ended_rows.unionByName(open_.select("doc_id", "source", (decided & ~closed).alias("cut")))
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    return not_quoted(judged(table(spark, folder, "documents", "doc_id", "source", "text")), table(spark, folder, "pruefaufgabe", "text"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return judged(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "pruefaufgabe", "text")).filter("cut").select("doc_id")
+    return _rows(spark, folder).filter("cut").select("doc_id")
 
 
 def p10_rate(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts, cut texts and their share for each source."""
-    rows = judged(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "pruefaufgabe", "text"))
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("rate"))
+    """Texts, cut texts and their share for each source, and how many of them a limit, a mark or the ending showed."""
+    by = [F.count_if(F.col("weg") == w).alias(f"n_{w}") for w in ("grenze", "marke", "ende")]
+    return _rows(spark, folder).groupBy("source").agg(F.count("*").alias("n"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("rate"), *by)
+
+
+def p10_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, spalte, einheit, n, k): the lengths that are limits of a source's column, and how many values have them.
+
+    Texts of white space only show no limit."""
+    docs = table(spark, folder, "documents", "doc_id", "source", "text").filter(F.rtrim("text", F.lit(WHITE)) != "")
+    v = docs.select("source", F.lit("text").alias("spalte"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
+    v = cut(length_spikes(v))
+    by_chars = spikes(v.select("source", "spalte", F.col("chars").alias("n"))).withColumn("einheit", F.lit("zeichen"))
+    by_bytes = spikes(v.filter("grenze is null or grenze <> 'zeichen'").select("source", "spalte", F.col("bytes").alias("n"))).withColumn("einheit", F.lit("bytes"))
+    return by_chars.unionByName(by_bytes).select("source", "spalte", "einheit", "n", "k")
+
+
+def _spike_sql(name: str, rows: str) -> str:
+    return f"""{name} AS (SELECT source, n, k FROM (SELECT *, (sum(k) OVER (PARTITION BY source ORDER BY n RANGE BETWEEN {NEAR} PRECEDING AND {NEAR} FOLLOWING) - k) / {2 * NEAR}.0 m FROM (SELECT source, n, count(*) k FROM {rows} GROUP BY ALL)) WHERE k >= {LEAST} AND k > m + {SIGMAS} * sqrt(m + 0.1))"""
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p10_found": p10_found, "p10_rate": p10_rate}
+SQL: dict[str, str] = {
+    "p10_limits": f"""WITH d AS (SELECT source, length(text) c, strlen(text) b FROM documents WHERE rtrim(text, '{WHITE}') <> ''),
+{_spike_sql('c', '(SELECT source, c n FROM d)')},
+r AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source IS NOT DISTINCT FROM d.source AND c.n = d.c)),
+{_spike_sql('b', '(SELECT source, b n FROM r)')}
+SELECT source, 'text' spalte, 'zeichen' einheit, n, k FROM c UNION ALL SELECT source, 'text', 'bytes', n, k FROM b"""
+}
+QUERIES = {"p10_found": p10_found, "p10_rate": p10_rate, "p10_limits": p10_limits}

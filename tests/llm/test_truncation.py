@@ -1,6 +1,6 @@
 """Problem 10: endings with a known verdict."""
 
-from lotwerk.llm.truncation import judged
+from lotwerk.llm.truncation import judged, length_spikes, not_quoted
 
 WHOLE = [
     "Das Gesuch ist einzureichen.", "Wer prüft das?", "Er sagte: «Ja.»", "Beilagen:\n- Ausweis\n- Plan der Anlage", "Text.\n\n| Feld | Wert |\n| a | 3 |", "Satz.\n\nKontakt: Das Amt, Weg 3, Ort",
@@ -48,7 +48,7 @@ def test_quotations(spark):
     quote = spark.createDataFrame([("Laut Vermerk 9 hat Olk die Auf-\nlage nie erfüllt.",), (None,), ("kurz",)], "text string")
     rows = [(1, "q", "Satz. Laut vermerk 9 HAT olk", "", 0), (2, "q", "Satz. Laut Vermerk 9 hat Ol", "", 0), (3, "q", "Satz. olk die Auflage nie", "", 0), (4, "q", "Satz. Laut Vermerk 9 hat Olk …", "", 0), (5, "q", "Satz. die Auf-\n lage nie erfu\u0308llt", "", 0), (6, "q", "die auflage nie erfuellt", "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, cut string, s int")
-    assert {r.doc_id: r.cut for r in judged(df, quote).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
+    assert {r.doc_id: r.cut for r in not_quoted(judged(df), quote).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
 
 
 def test_number_cut_at_a_spike(spark):
@@ -68,11 +68,33 @@ def test_spike_and_mark_win(spark):
         tail = ". Laut Vermerk 9 hat Olk" if i % 2 else ". Dies gilt (vgl. Ziff. 4)"
         rows.append((100 + i, "a", "Satz " + "y" * (95 - len(tail)) + tail, "", 0))
     rows += [(200, "b", "Das gilt hier (vgl. Ziff. 4) …", "", 0), (201, "b", "Das gilt hier. (vgl. Ziff. 4)", "", 0), (202, "b", "Das gilt hier. (Schluss)", "", 0), (203, "b", "Das gilt hier (vgl. Ziff. 4)", "", 0)]
-    got = {r.doc_id: r.cut for r in judged(spark.createDataFrame(rows, "doc_id long, source string, text string, cut string, s int"), quote).collect()}
+    got = {r.doc_id: r.cut for r in not_quoted(run(spark, rows), quote).collect()}
     assert all(got[100 + i] for i in range(12))
     assert [got[i] for i in range(200, 204)] == [True, False, False, True]
 
 
+def test_long_lines(spark):
+    item = "- " + "Angabe zum Vorhaben und zur Lage " * 9  # a complete list item of 292 letters and more
+    open_ = "Das Amt prüft " + "die Lage und " * 30
+    rows = [(1, "q", "Satz.\n" + item.strip(), "", 0), (2, "q", open_ + "Hinweis: " + "n" * 191, "", 0), (3, "q", open_ + "xHinweis: " + "n" * 191, "", 0), (4, "q", "Satz.\n- kurz", "", 0)]
+    assert {r.doc_id: r.cut for r in run(spark, rows).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_the_size_of_the_corpus_changes_no_verdict(spark):
+    few = [(i, "q", t, "", 0) for i, t in enumerate(WHOLE + CUT)]
+    many = few + [(1000 + i, "r", f"Der Satz {i} steht hier.\nEr ist zu Ende.", "", 0) for i in range(3000)]
+    a, b = ({r.doc_id: r.weg for r in run(spark, rows).collect() if r.doc_id < 1000} for rows in (few, many))
+    assert a == b
+
+
+def test_length_spikes(spark):
+    rows = [(i, "a", "t", 10 + 7 * i, 10 + 7 * i) for i in range(60)] + [(100 + i, "a", "t", 250, 250 + i) for i in range(9)] + [(200 + i, "a", "u", 90 + i, 300 - (i % 8 == 0)) for i in range(24)] + [(300 + i, None, "t", 77, 80) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, source string, spalte string, chars long, bytes long")
+    got = {r.id: r.grenze for r in length_spikes(df).collect()}
+    assert all(got[100 + i] == "zeichen" for i in range(9)) and all(got[200 + i] == "bytes" for i in range(24)) and all(got[300 + i] == "zeichen" for i in range(5))
+    assert not any(got[i] for i in range(60) if 10 + 7 * i not in (250, *range(297, 301)))
+
+
 def test_long_last_lines(spark):
     rows = [(1, "q", "Satz.\n- " + "wort " * 60 + "ende", "", 0), (2, "q", "Satz.\nDer " + "wort " * 60 + "- " + "wort " * 39 + "wort", "", 0), (3, "q", "Satz.\nDer " + "x" * 60 + " - " + "w" * 198, "", 0)]
     assert {r.doc_id: r.cut for r in run(spark, rows).collect()} == {1: False, 2: True, 3: True}
