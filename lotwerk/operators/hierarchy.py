@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,10 +11,10 @@ from lotwerk.operators.skew import skew_join
 from lotwerk.session import cut, drop
 from lotwerk.sources.tables import table
 
-#: Rows up to which a remainder (core with the cycles, list of splitters) is finished in one task; larger ones go on distributed.
-LOCAL_ROWS = 200_000
-#: Rounds of peeling before pointer doubling takes over on what deep chains leave.
-PEEL_ROUNDS = 3
+#: List elements with which the ranking's recursion ends: so short a list is ranked in one task.
+LOCAL_ROWS = 2_000
+#: Share of the nodes that a round of peeling must take for another one to follow.
+LEAST_PEELED = 0.1
 #: Every so manieth list element is a splitter.
 SPLIT = 8
 #: Siblings are linked in blocks of so many bits of their id, level by level.
@@ -31,60 +29,46 @@ def current_links(rows: DataFrame, id_: str, parent: str, version: Column) -> Da
     return links.select("v").join(known.select("v", "p"), "v", "left")
 
 
-def _follow(core: DataFrame, local_rows: int) -> DataFrame:
-    """(v, c): the nodes on cycles of core(v, p) with their cycle's smallest node."""
-    n = core.count()
-    if n <= local_rows:
-
-        def walk(batches):
-            all_ = [b for b in batches if len(b)]
-            if not all_:
-                return
-            edges = pd.concat(all_)
-            up = dict(zip(edges["v"].tolist(), edges["p"].tolist()))
-            seen: dict[int, int] = {}
-            found = []
-            for start in up:
-                trail, v = [], start
-                while v in up and v not in seen:
-                    seen[v] = start
-                    trail.append(v)
-                    v = up[v]
-                if v in seen and seen[v] == start:
-                    ring = trail[trail.index(v) :]
-                    found += [(x, min(ring)) for x in ring]
-            yield pd.DataFrame(found, columns=["v", "c"]).astype("int64")
-
-        return core.coalesce(1).mapInPandas(walk, "v long, c long")
-    # 2**k-th ancestors: nodes below a root drop out, the images of the rest lie on cycles
+def _on_cycles(core: DataFrame, n: int) -> DataFrame:
+    """The rows of core(v, p), n of them, whose node lies on a cycle: the images of all nodes after n steps or more."""
     jump = core.select("v", F.col("p").alias("t"))
-    for _ in range(max(1, math.ceil(math.log2(n + 1)))):
+    for _ in range(n.bit_length()):
         before = jump
         jump = cut(skew_join(jump, jump.select(F.col("v").alias("t"), F.col("t").alias("u")), ["t"]).select("v", F.col("u").alias("t")))
         drop(before)
     on = cut(jump.select(F.col("t").alias("v")).distinct())
     drop(jump)
-    ring = cut(core.join(on, "v", "left_semi").select("v", F.col("p").alias("t"), F.least("v", "p").alias("c")))
-    for _ in range(max(1, math.ceil(math.log2(on.count() + 1)))):
-        before = ring
-        ahead = ring.select(F.col("v").alias("t"), F.col("t").alias("u"), F.col("c").alias("d"))
-        ring = cut(ring.join(ahead, "t").select("v", F.col("u").alias("t"), F.least("c", "d").alias("c")))
-        drop(before)
-    return ring.select("v", "c")
+    return core.join(on, "v", "left_semi")
 
 
-def cycles(links: DataFrame, peel_rounds: int = PEEL_ROUNDS, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def cycles(links: DataFrame, least_peeled: float = LEAST_PEELED) -> DataFrame:
     """(v, c): the nodes on a cycle with its smallest node.
 
-    Leaves are peeled, a level a round; whatever tree is left above that after peel_rounds is told from the cycles by
-    pointer doubling, in as many rounds as its size has bits.
+    Leaves are peeled, a level a round, until none is left: what remains are the cycles. A round that peels less than
+    least_peeled of what there is shows deep chains, which would take a round a level; there pointer doubling tells the
+    cycles from the chains in as many rounds as the rest's size has bits. Either way the rounds grow with the logarithm of
+    the size. A cycle's smallest node is found by doubling until no node learns of a smaller one.
     """
-    core = links.filter("p is not null")
-    for _ in range(peel_rounds):
-        before = core
-        core = cut(core.join(core.select(F.col("p").alias("v")).distinct(), "v", "left_semi"))
+    core = cut(links.filter("p is not null"))
+    n = core.count()
+    while n:
+        before, core = core, cut(core.join(core.select(F.col("p").alias("v")).distinct(), "v", "left_semi"))
         drop(before)
-    return cut(_follow(core, local_rows))
+        left = core.count()
+        if left == n:
+            break
+        if n - left < least_peeled * n:
+            before, core = core, cut(_on_cycles(core, left))
+            drop(before)
+            break
+        n = left
+    ring = cut(core.select("v", F.col("p").alias("t"), F.least("v", "p").alias("c"), F.lit(True).alias("new")))
+    while not ring.filter("new").isEmpty():
+        before = ring
+        ahead = ring.select(F.col("v").alias("t"), F.col("t").alias("u"), F.col("c").alias("d"))
+        ring = cut(ring.join(ahead, "t").select("v", F.col("u").alias("t"), F.least("c", "d").alias("c"), (F.col("d") < F.col("c")).alias("new")))
+        drop(before)
+    return ring.select("v", "c")
 
 
 def next_siblings(nodes: DataFrame, bits: int = LEVEL_BITS) -> DataFrame:
@@ -130,6 +114,9 @@ def rank_list(items: DataFrame, local_rows: int = LOCAL_ROWS, split: int = SPLIT
         moved = state.filter("not done").join(steps, "nxt").select("e", F.col("nxt2").alias("nxt"), (F.col("n") + F.col("n2")).alias("n"), (F.col("w") + F.col("w2")).alias("w"), F.col("done2").alias("done"))
         before, state = state, cut(state.filter("done").unionByName(moved))
         drop(before)
+    else:
+        if not state.filter("not done").isEmpty():
+            raise RuntimeError("the list does not end: its elements lie on a cycle")
     few = state.filter(is_splitter("e")).select("e", "nxt", "n", "w")
     ranked = cut(rank_list(cut(few), local_rows, split, seed + 1))
     return state.join(ranked.select(F.col("e").alias("nxt"), F.col("after").alias("a2"), F.col("sum").alias("s2")), "nxt", "left").select(
@@ -147,7 +134,7 @@ def _rank_local(items: DataFrame) -> DataFrame:
         at = {x: i for i, x in enumerate(e)}
         nxt = [at.get(x, -1) if ok else -1 for x, ok in zip(part["nxt"].fillna(0).astype("int64").tolist(), part["nxt"].notna())]
         follow = set(nxt)
-        after, sums = [0] * len(e), [0] * len(e)
+        after, sums, done = [0] * len(e), [0] * len(e), 0
         for head in (i for i in range(len(e)) if i not in follow):
             chain, i = [], head
             while i >= 0:
@@ -157,6 +144,9 @@ def _rank_local(items: DataFrame) -> DataFrame:
             for i in reversed(chain):
                 a, s = a + n[i], s + w[i]
                 after[i], sums[i] = a, s
+            done += len(chain)
+        if done < len(e):
+            raise RuntimeError("the list does not end: its elements lie on a cycle")
         yield pd.DataFrame({"e": e, "after": after, "sum": sums})
 
     # nxt as text keeps 64 bits where pandas would make nulls floats
@@ -203,7 +193,8 @@ def paths(intervals: DataFrame, chunk: int | None = None) -> DataFrame:
     """(v, path, root_mark) of intervals(v, enter, exit, depth, mark): ids from the root joined by '/', and the root's mark.
 
     The tour is swept in chunks of positions. Which nodes are open where a chunk begins follows from the intervals, so
-    the chunks are independent; their size shrinks with the greatest depth, which bounds the memory of a sweep.
+    the chunks are independent. A sweep keeps the ids of the open nodes, one a level, and joins them when it writes a
+    path; the chunks shrink with the greatest depth, so that the paths of one take about 100 MB at most.
     """
     if chunk is None:
         deepest = intervals.agg(F.max("depth")).first()[0] or 0
@@ -214,17 +205,20 @@ def paths(intervals: DataFrame, chunk: int | None = None) -> DataFrame:
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("enter")
-        stack: list[tuple[int, str, object]] = []
+        ends: list[int] = []
+        names: list[str] = []
+        root = None
         out = []
         for v, exit_, mark, chunk_, own in zip(pdf["v"], pdf["exit"], pdf["mark"], pdf["chunk"], pdf["own"]):
-            enter_open = v, exit_
-            while stack and stack[-1][0] < exit_:
-                stack.pop()
-            path = f"{stack[-1][1]}/{v}" if stack else str(v)
-            root = stack[-1][2] if stack else mark
-            stack.append((enter_open[1], path, root))
+            while ends and ends[-1] < exit_:
+                ends.pop()
+                names.pop()
+            if not ends:
+                root = mark
+            ends.append(exit_)
+            names.append(str(v))
             if own == chunk_:
-                out.append((v, path, root))
+                out.append((v, "/".join(names), root))
         return pd.DataFrame(out, columns=["v", "path", "root_mark"])
 
     return placed.groupBy("chunk").applyInPandas(sweep, "v long, path string, root_mark string")
@@ -239,7 +233,7 @@ def hierarchy(rows: DataFrame, id_: str, parent: str, version: Column, **tuning)
     Ids must lie within 62 bits.
     """
     links = cut(current_links(rows, id_, parent, version))
-    ring = cycles(links, **{k: v for k, v in tuning.items() if k in ("peel_rounds", "local_rows")})
+    ring = cycles(links, **{k: v for k, v in tuning.items() if k == "least_peeled"})
     marked = links.join(ring, "v", "left")
     forest = marked.select("v", F.when(F.col("c").isNull(), F.col("p")).alias("fp"), "c")
     spans = euler_intervals(forest.select("v", "fp"), **{k: v for k, v in tuning.items() if k in ("local_rows", "split")})
@@ -262,7 +256,7 @@ def hierarchy(rows: DataFrame, id_: str, parent: str, version: Column, **tuning)
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "dvsh_organisation", "id", "parent_id", "updated_at")
-    return hierarchy(rows, "id", "parent_id", day(F.col("updated_at")), local_rows=LOCAL_ROWS // 100)
+    return hierarchy(rows, "id", "parent_id", day(F.col("updated_at")))
 
 
 SQL = {

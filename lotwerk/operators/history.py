@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwerk.functions.dates import day, day_text
-from lotwerk.session import shared_folder
+from lotwerk.session import cut, shared_folder
+from lotwerk.sources import versions
 from lotwerk.sources.tables import table
 
 FOREVER = "9999-12-31"
@@ -81,6 +81,13 @@ def build_chains(facts: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
+def _rebuilt(batch: DataFrame, events: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(touched(kennung), rebuilt): the entities of batch, and their chains made anew from their raw events only."""
+    touched = cut(batch.filter("kennung is not null").select("kennung").distinct())
+    facts = day_facts(events.join(touched, "kennung", "left_semi"))
+    return touched, build_chains(facts, starts.join(touched, "kennung", "left_semi"))
+
+
 def rebuild_affected(chains: DataFrame, batch: DataFrame, events: DataFrame, starts: DataFrame) -> DataFrame:
     """chains after the late, corrected or new events of batch.
 
@@ -88,41 +95,34 @@ def rebuild_affected(chains: DataFrame, batch: DataFrame, events: DataFrame, sta
     their intervals are made anew, and the new chains stand in place of the old ones; all other chains stay as they
     are. The result does not depend on how the log was cut into batches.
     """
-    touched = batch.filter("kennung is not null").select("kennung").distinct()
-    facts = day_facts(events).join(touched, "kennung", "left_semi")
-    rebuilt = build_chains(facts, starts.join(touched, "kennung", "left_semi"))
+    touched, rebuilt = _rebuilt(batch, events, starts)
     return chains.join(touched, "kennung", "left_anti").select(*CHAIN).unionByName(rebuilt)
 
 
-def publish(df: DataFrame, name: str) -> str:
-    """Write a new version of the table name in the shared folder and switch to it at once; returns its path.
+def chains_at(spark: SparkSession, name: str) -> str:
+    """Where the published chains called name lie in the shared folder."""
+    return f"{shared_folder(spark)}/lotwerk_tables/{name}"
 
-    The version is written beside the old one; one small pointer file, replaced by a rename, says which holds. A reader
-    sees the old chains or the new ones, never a mixture, and a job that dies leaves the old ones in place.
-    """
-    spark = df.sparkSession
-    base = f"{shared_folder(spark)}/lotwerk_tables/{name}"
-    path = f"{base}/v_{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, pointer = (jvm.org.apache.hadoop.fs.Path(f"{base}/{x}") for x in (f"_next_{uuid.uuid4().hex}", "CURRENT"))
-    fs = pointer.getFileSystem(conf)
-    out = fs.create(new)
-    out.write(bytearray(json.dumps({"path": path}).encode()))
-    out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf)
-    option = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark._sc._gateway.new_array(option, 1)
-    options[0] = option.OVERWRITE
-    context.rename(new, pointer, options)
-    return path
+
+def publish(chains: DataFrame, name: str) -> None:
+    """Publish chains, all of them, in buckets of entities."""
+    versions.publish(chains.select(*CHAIN), chains_at(chains.sparkSession, name), "kennung")
 
 
 def published(spark: SparkSession, name: str) -> DataFrame:
-    """The version of the table name that holds."""
-    pointer = f"{shared_folder(spark)}/lotwerk_tables/{name}/CURRENT"
-    path = json.loads("".join(r[0] for r in spark.read.text(pointer).collect()))["path"]
-    return spark.read.parquet(path)
+    """The chains that hold; none if nothing was published."""
+    found = versions.published(spark, chains_at(spark, name))
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in CHAIN)) if found is None else found
+
+
+def replace_affected(name: str, batch: DataFrame, events: DataFrame, starts: DataFrame) -> None:
+    """rebuild_affected() on the published chains: those of the entities batch touches are replaced in one step.
+
+    Only the buckets with a touched entity are read and written; a reader sees the old chains or the new ones, never a
+    mixture, and a job that dies leaves the old ones in place.
+    """
+    touched, rebuilt = _rebuilt(batch, events, starts)
+    versions.replace_keys(cut(rebuilt), touched, chains_at(batch.sparkSession, name), "kennung")
 
 
 def starts_of(registry: DataFrame) -> DataFrame:
@@ -151,7 +151,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "kennung_verlauf", "id", "kennung", "datum", "ereignis", "vorher", "nachher")
     registry = table(spark, folder, "kennung", "kennung", "seit", "schluessel", "geladen_am")
     low, high = events.agg(F.min("id"), F.max("id")).first()
-    return identifier_history(events, registry, int(high - (high - low) * BATCH_SHARE) if high is not None else 0)
+    cursor = int(high - (high - low) * BATCH_SHARE) if high is not None else 0
+    name, starts = f"p2_{uuid.uuid4().hex}", cut(starts_of(registry))
+    publish(build_chains(day_facts(events.filter(F.col("id") <= cursor)), starts), name)
+    replace_affected(name, events.filter(F.col("id") > cursor), events, starts)
+    return published(spark, name)
 
 
 def versions_on(chains: DataFrame, moments: DataFrame) -> DataFrame:

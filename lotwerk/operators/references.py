@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,6 @@ from lotwerk.sources.tables import table
 BLOCK_BITS = 12
 #: Faulty targets up to which they are broadcast; a row takes about 60 bytes.
 MAX_SENT = 200_000
-#: Arrivals beyond it (the year 2112, in microseconds) are alike when the last row of a record is chosen.
-LATEST = 1 << 52
 
 
 def key_runs(parents: DataFrame) -> DataFrame:
@@ -60,10 +60,12 @@ def faulty_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     Null reference: no row. Null target table or one without rows: fehlt. Null arrivals: never verspaetet, periode null
     when the record has none. Rows with a null key count as one record. Empty targets: every reference is fehlt.
     """
-    # fixed-width state only, so that the records are condensed by hashing without a sort
+    # fixed-width state only, so that the records are condensed by hashing without a sort: the exact arrival, then the
+    # target's hash, in one number
     space = F.coalesce(F.xxhash64("ziel_tabelle"), F.lit(0))
-    micros = F.coalesce(F.unix_micros(F.col("ankunft").cast("timestamp")), F.lit(-LATEST))
-    at = F.greatest(F.least(micros, F.lit(LATEST)), F.lit(-LATEST)) * 1024 + F.pmod(F.xxhash64("ziel_id", "ziel_tabelle"), F.lit(1024))
+    micros = F.coalesce(F.unix_micros(F.col("ankunft").cast("timestamp")), F.lit(-(1 << 60))).cast("decimal(19,0)")
+    at = (micros * F.lit(Decimal(1 << 62)).cast("decimal(19,0)")).cast("decimal(38,0)") + F.shiftright(F.xxhash64("ziel_id", "ziel_tabelle"), 2).cast("decimal(19,0)")
+    at = at.cast("decimal(38,0)")
     records = cut(
         references.select("tabelle", "satz", space.alias("space"), F.col("ziel_id").alias("id"), "ankunft", at.alias("at"))
         .groupBy("tabelle", "satz")

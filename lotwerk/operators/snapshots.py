@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwerk.functions.dates import day, day_text
 from lotwerk.operators.skew import checked_join
+from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
 COMPARED = ["title", "kurzbeschreibung", "unterlagen", "gebuehren", "dienststelle", "status"]
@@ -18,10 +19,15 @@ def json_value(text: Column) -> Column:
 
 
 def latest_reads(rows: DataFrame, compared: list[str], json_columns: tuple[str, ...]) -> DataFrame:
-    """One row a (quelle, abzug, schluessel): the one with the latest gelesen_am, ties by the greatest values."""
-    values = F.struct(*((json_value(F.col(c)) if c in json_columns else F.col(c)).alias(c) for c in compared))
-    newest = F.max(F.struct(F.col("gelesen_am").alias("at"), values.alias("v")))
-    return rows.groupBy("quelle", "abzug", "schluessel").agg(newest.alias("r")).select("quelle", "abzug", "schluessel", F.col("r.v").alias("v"))
+    """(quelle, abzug, schluessel, marks): of the row of a key with the latest gelesen_am one hash a compared column.
+
+    The hashes are taken before the shuffle, so no text is moved; two of 64 bits that are equal by chance would hide a
+    change. Ties: the greatest hashes.
+    """
+    value = lambda c: json_value(F.col(c)) if c in json_columns else F.col(c)
+    marks = F.array(*(F.coalesce(F.xxhash64(F.col(c).isNull(), value(c)), F.lit(0)) for c in compared))
+    newest = F.max(F.struct(F.col("gelesen_am").alias("at"), marks.alias("marks")))
+    return rows.groupBy("quelle", "abzug", "schluessel").agg(newest.alias("r")).select("quelle", "abzug", "schluessel", F.col("r.marks").alias("marks"))
 
 
 def snapshot_changes(rows: DataFrame, pairs: DataFrame, compared: list[str] = COMPARED, json_columns: tuple[str, ...] = ("unterlagen",)) -> DataFrame:
@@ -35,11 +41,12 @@ def snapshot_changes(rows: DataFrame, pairs: DataFrame, compared: list[str] = CO
     Null values equal each other and differ from any value; json_columns are compared as JSON values, text that is no
     JSON as text. Null keys are one key. A harvest without rows removes all keys of the one before. No pairs: no rows.
     """
-    held = latest_reads(rows, compared, json_columns)
-    # one hash a column: narrower to shuffle than the texts, and it still says which column differs
-    marks = F.array(*(F.coalesce(F.xxhash64(F.struct(F.col(f"v.{c}").isNull(), F.col(f"v.{c}"))), F.lit(0)) for c in compared))
-    marked = held.select("quelle", "abzug", "schluessel", F.sha2(F.to_json("v"), 256).alias("print"), marks.alias("marks"))
-    columns = ["quelle", "abzug", "vorher", "schluessel", "print", "marks"]
+    pairs = cut(pairs.select("quelle", "abzug", "vorher").distinct())
+    # only harvests of a pair are read further: those logged long ago stay out before anything is parsed or shuffled
+    wanted = pairs.select("quelle", "abzug").union(pairs.select("quelle", "vorher")).distinct().withColumn("asked", F.lit(True))
+    some = checked_join(rows, wanted, ["quelle", "abzug"])
+    marked = cut(latest_reads(some, compared, json_columns))
+    columns = ["quelle", "abzug", "vorher", "schluessel", "marks"]
     # a harvest may hold a third of all rows and is one key here, so pairs is never shuffled against unless it is huge
     now = checked_join(marked, pairs, ["quelle", "abzug"]).select(*columns)
     then = checked_join(marked.withColumnRenamed("abzug", "vorher"), pairs, ["quelle", "vorher"]).select(*columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, else (tests) a new temporary one."""
+    """The folder all executors share: the session's spark.checkpoint.dir, else, in local mode only, a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(spark, "_lotwerk_folder", None) or "file://" + tempfile.mkdtemp(prefix="lotwerk-")
         spark._lotwerk_folder = folder
     return folder.rstrip("/")

@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotwerk.sources import versions
+
 
 class GateError(Exception):
     """Rows that must not be published, by gate."""
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def content_hash(df: DataFrame) -> str:
     """A fingerprint of df's rows whatever their order; repeated rows count."""
     row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
@@ -27,25 +23,19 @@ def content_hash(df: DataFrame) -> str:
 
 
 def publish(df: DataFrame, path: str, gates: dict[str, DataFrame] | None = None, only_if_changed: bool = True) -> bool:
-    """Write df to path: staged beside it, then put in its place by renames, once every gate has no rows.
+    """Write df as the version of the table at path that holds (see versions.publish), once every gate has no rows.
 
-    False if the table at path already has the same content and is left alone.
+    A reader, versions.published(), sees the old rows or the new ones at any time. False if the table already has the
+    same content and is left alone.
     """
     failed = {k: n for k, g in (gates or {}).items() if (n := g.count())}
     if failed:
         raise GateError(f"not published: {failed}")
     spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    if only_if_changed and fs.exists(target):
-        old = spark.read.parquet(path)
-        if set(old.columns) == set(df.columns) and content_hash(old) == content_hash(df):
-            return False
-    staging, gone = f"{path}_staging_{uuid.uuid4().hex}", f"{path}_old_{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    if fs.exists(target):
-        fs.rename(target, _fs(spark, gone)[1])
-    fs.rename(_fs(spark, staging)[1], target)
-    fs.delete(_fs(spark, gone)[1], True)
+    old = versions.published(spark, path) if only_if_changed else None
+    if old is not None and set(old.columns) == set(df.columns) and content_hash(old) == content_hash(df):
+        return False
+    versions.publish(df, path)
     return True
 
 
@@ -115,14 +105,12 @@ def version_after(version: str, old: dict, new: dict) -> str:
 def write_contract(df: DataFrame, path: str) -> str:
     """Keep the contract of df in the file path; rewritten, with its version raised, only if it changed."""
     new = contract(df)
-    try:
-        old = json.load(open(path))
-    except FileNotFoundError:
-        old = None
+    text = versions.read_text(df.sparkSession, path)
+    old = json.loads(text) if text else None
     if old and old["schema"] == new:
         return old["version"]
     version = version_after(old["version"], old["schema"], new) if old else "1.0.0"
-    json.dump({"version": version, "schema": new}, open(path, "w"), indent=1, sort_keys=True)
+    versions.write_text(df.sparkSession, path, json.dumps({"version": version, "schema": new}, indent=1, sort_keys=True))
     return version
 
 

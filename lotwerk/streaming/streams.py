@@ -1,4 +1,4 @@
-"""Streams: the reference is a batch system; these offer its order-dependent operators on unbounded input."""
+"""Streams: the order-dependent operators on unbounded input."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lotwerk.operators.history import CHAIN, publish, published, rebuild_affected
-from lotwerk.session import shared_folder
+from lotwerk.operators.history import replace_affected, starts_of
+from lotwerk.session import cut, shared_folder
+from lotwerk.sources.versions import bucket_of
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
@@ -62,63 +63,52 @@ def once_only(events: DataFrame) -> DataFrame:
 def keep_history(batches: DataFrame, raw: str, registry: DataFrame, name: str):
     """A foreachBatch writer of events into the published history name: each batch rebuilds only the chains it touches.
 
-    raw is the folder with all events so far; a batch is appended there under its id first, so a repeated batch
-    overwrites itself and the result is the same.
+    raw is the folder with all events so far, in buckets of entities. A batch is appended there under its id first, so
+    that a repeated batch overwrites itself and the result is the same; then only the buckets it touches are read, and
+    their part of the history is replaced in one step.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{raw}/batch={batch_id}")
         spark = batch.sparkSession
-        events = spark.read.parquet(raw).drop("batch")
-        touched = spark.read.parquet(f"{raw}/batch={batch_id}")
-        try:
-            chains = published(spark, name)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            chains = spark.createDataFrame([], ", ".join(f"{c} string" for c in CHAIN))
-        from lotwerk.operators.history import starts_of
-
-        publish(rebuild_affected(chains, touched, events, starts_of(registry)), name)
+        batch.withColumn("bucket", bucket_of("kennung")).write.mode("overwrite").partitionBy("bucket").parquet(f"{raw}/batch={batch_id}")
+        new = cut(batch)
+        hit = [r[0] for r in new.select(bucket_of("kennung")).distinct().collect()]  # as many as there are buckets, at most
+        events = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in new.schema)}, batch int, bucket int").parquet(raw)
+        replace_affected(name, new, events.filter(F.col("bucket").isin(hit)).drop("batch", "bucket"), starts_of(registry))
 
     return batches.writeStream.foreachBatch(one)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives when all its input now there has been read, as a table in the shared folder."""
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream has given when all its input now there has been read, as a table in the shared folder.
+
+    Rows are appended once they are final: windows and sessions when the watermark has passed their end, so that state is
+    dropped with them. What the watermark has not passed yet is still open and not given.
+    """
     import uuid
 
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/lotwerk_streams/{uuid.uuid4().hex}"
-
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-    def whole(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-
-    q = stream.writeStream.outputMode(mode).foreachBatch(whole).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily counts per event type, streamed to the end of the table."""
-    out = drained(windowed_counts(event_stream(spark, folder)), "complete")
+    """Daily counts per event type of the days that are closed, streamed to the end of the table."""
+    out = drained(windowed_counts(event_stream(spark, folder)))
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("tag"), "event_type", "n", F.col("v").cast("double").alias("v"))
 
 
 def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts in windows of two days every day."""
-    out = drained(windowed_counts(event_stream(spark, folder), "2 days", "1 day"), "complete")
+    """Counts in closed windows of two days every day."""
+    out = drained(windowed_counts(event_stream(spark, folder), "2 days", "1 day"))
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("tag"), "event_type", "n")
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions per user."""
-    out = drained(sessions(event_stream(spark, folder)), "complete")
+    """Closed sessions per user."""
+    out = drained(sessions(event_stream(spark, folder)))
     return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("anfang"), "n")
 
 
@@ -129,10 +119,12 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"stream_dedup": stream_dedup, "stream_windows": stream_windows, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions}
+#: The watermark at the end of the table.
+_MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)"
 SQL = {
     "stream_dedup": "SELECT DISTINCT event_id FROM events",
-    "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') tag, event_type, count(*) n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) v FROM events GROUP BY ALL",
-    "stream_sliding": "SELECT strftime(t, '%Y-%m-%d') tag, event_type, count(*) n FROM (SELECT event_type, unnest([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) t FROM events) GROUP BY ALL",
-    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END neu FROM events), s AS (SELECT user_id, ts, sum(neu) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g)
-SELECT user_id, min(ts) anfang, count(*) n FROM s GROUP BY user_id, k""",
+    "stream_windows": f"SELECT strftime(ts, '%Y-%m-%d') tag, event_type, count(*) n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) v FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_MARK} GROUP BY ALL",
+    "stream_sliding": f"SELECT strftime(t, '%Y-%m-%d') tag, event_type, count(*) n FROM (SELECT event_type, unnest([CAST(ts AS DATE), CAST(ts AS DATE) - 1]) t FROM events) WHERE t + INTERVAL 2 DAY <= {_MARK} GROUP BY ALL",
+    "stream_sessions": f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END neu FROM events), s AS (SELECT user_id, ts, sum(neu) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g)
+SELECT user_id, min(ts) anfang, count(*) n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOUR <= {_MARK}""",
 }

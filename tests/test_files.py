@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwerk.functions import scalars as S
-from lotwerk.sources import files, sinks
+from lotwerk.sources import files, sinks, versions
 from lotwerk.streaming import streams
 
 
@@ -77,12 +77,29 @@ def test_publish(spark, tmp_path):
     assert not os.path.exists(tmp_path / "t")
     assert sinks.publish(df, path, {"ok": df.limit(0)})
     assert not sinks.publish(df.orderBy(F.desc("k")), path)
-    assert sinks.publish(df.union(df), path) and spark.read.parquet(path).count() == 4
+    assert sinks.publish(df.union(df), path) and versions.published(spark, path).count() == 4
     assert os.listdir(tmp_path) == ["t"]
     df.withColumn("tag", F.lit("2026-01-01")).union(df.withColumn("tag", F.lit("2026-02-01")).limit(1)).write.partitionBy("tag").parquet(f"{path}2")
     assert files.dated_versions(spark, f"{path}2").count() == 1 and files.dated_versions(spark, f"{path}2", "2026-01-15").count() == 2
 
 
+def test_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    df = spark.createDataFrame([(i, f"a{i}", i % 3) for i in range(50)], "k long, v string, x int")
+    versions.publish(df, path, "k", 8)
+    old = versions.published(spark, path)
+    kept = {d for d in os.listdir(tmp_path / "t") if d.startswith("v_")}
+    touched = spark.createDataFrame([(3,), (70,), (4,)], "k long")
+    versions.replace_keys(spark.createDataFrame([(3, "neu", 9), (70, "dazu", None)], "k long, v string, x int"), touched, path, "k", 8)
+    want = {(i, f"a{i}", i % 3) for i in range(50) if i not in (3, 4)} | {(3, "neu", 9), (70, "dazu", None)}
+    assert {tuple(r) for r in versions.published(spark, path).collect()} == want
+    assert old.count() == 50 and kept < {d for d in os.listdir(tmp_path / "t") if d.startswith("v_")}  # a reader of the old version goes on
+    versions.publish(df.limit(0), path, "k", 8)
+    assert versions.published(spark, path).count() == 0 and versions.published(spark, f"{path}x") is None
+    versions.publish(df, path, "k", 8)
+    assert not kept & set(os.listdir(tmp_path / "t"))  # and the oldest is cleared away
+
+
 def test_other_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (1, None), (2, 'x;"y')], "k int, v string")
     sinks.json_lines(df, f"{tmp_path}/j")

@@ -52,7 +52,7 @@ def forest(n, seed):
     return parents
 
 
-@pytest.mark.parametrize("tuning", [{"local_rows": 0, "peel_rounds": 1, "split": 3, "chunk": 16}, {}])
+@pytest.mark.parametrize("tuning", [{"local_rows": 0, "least_peeled": 1.0, "split": 3, "chunk": 16}, {"least_peeled": 0.0}, {}])
 def test_random(spark, tuning):
     parents = forest(400, 2)
     rows = [(v, p, "2026-01-02", "x", 1) for v, p in parents.items()]
@@ -69,6 +69,21 @@ def test_deep_chain_and_long_cycle(spark):
     assert {tuple(r) for r in got.collect()} == brute(parents)
 
 
+def test_depth_of_ten_thousand(spark):
+    n = 10_000
+    rows = [(i, i - 1 if i > 1 else None, "2026-01-02", "x", 1) for i in range(1, n + 1)]
+    got = H.hierarchy(spark.createDataFrame(rows, ROW), "id", "parent_id", F.col("day"))
+    whole = got.select("id", "tiefe", "n_nachfahren", "wurzel", F.length("pfad").alias("l"), F.expr("size(split(pfad, '/'))").alias("parts")).collect()
+    assert all((r.tiefe, r.n_nachfahren, r.wurzel, r.parts) == (r.id - 1, n - r.id, 1, r.id) for r in whole) and len(whole) == n
+    assert max(r.l for r in whole) == len("/".join(map(str, range(1, n + 1))))
+
+
+def test_a_list_without_end_is_told(spark):
+    items = spark.createDataFrame([(i, (i + 1) % 40, 1, 1) for i in range(40)], "e long, nxt long, n long, w long")
+    with pytest.raises(Exception, match="does not end"):
+        H.rank_list(items, local_rows=0, split=4).collect()
+
+
 def test_empty_and_ties(spark):
     assert H.hierarchy(spark.createDataFrame([], ROW), "id", "parent_id", F.col("day")).count() == 0
     rows = [(1, None, "d", "", 0), (2, 1, "d", "", 0), (3, 2, "d", "", 0), (3, 1, "d", "", 0), (3, None, "d", "", 0)]

@@ -29,6 +29,7 @@ def test_as_of_join_over_blocks(spark):
 
 def test_skew_joins(spark, monkeypatch):
     monkeypatch.setattr(skew, "HEAVY", 2)
+    monkeypatch.setattr(skew, "SPLIT_ROWS", 15)
     big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 20}", None if i % 11 == 0 else i % 4) for i in range(400)], "i int, k string, z int")
     small = spark.createDataFrame([("hot", 1, 5), ("k0", 2, 5), ("k3", 2, 6), ("none", 3, 7), (None, 4, 8)], "k string, v int, w int")
     for how in ("inner", "left"):
@@ -39,6 +40,8 @@ def test_skew_joins(spark, monkeypatch):
         assert rows(skew.skew_join(gaps, small, ["k"], w, "left").select("i", "v", "w").na.fill(-1)) == rows(gaps.join(small, "k", "left").select("i", "v", "w").na.fill(-1))
     assert rows(skew.checked_join(gaps, small, ["k"], "left", 0).select("i", "v").na.fill(-1)) == rows(gaps.join(small, "k", "left").select("i", "v").na.fill(-1))
     many = small.union(small)
+    for both in (False, True):
+        assert rows(skew.salted_join(big, many, ["k"], 1, both).select("i", "v")) == rows(big.join(many, "k").select("i", "v"))
     assert rows(skew.salted_join(big, many, ["k"], 20).select("i", "v")) == rows(big.join(many, "k").select("i", "v"))
     with pytest.raises(ValueError):
         skew.skew_join(big, small, ["k"], how="full")
