@@ -36,11 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and return the table: a lineage cut that survives lost executors."""
+def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and return the table: a lineage cut that survives lost executors.
+
+    partition_by: the column whose values are folders of the table; it must be the last of df.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lotwerk/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lotwerk_path = path
     return out
