@@ -231,7 +231,7 @@ def _lists(canon: DataFrame) -> Iterator[dict[str, list[tuple[int, str]]]]:
     lists = max(1, -(-canon.count() // MAX_CANON))
     for k in range(lists):
         areas: dict[str, list[tuple[int, str]]] = defaultdict(list)
-        for r in canon.filter(F.pmod(F.xxhash64("kanon_id"), F.lit(lists)) == k).orderBy("kanon_id").toLocalIterator():
+        for r in canon.filter(F.pmod(F.xxhash64("kanon_id"), F.lit(lists)) == k).orderBy("kanon_id").collect():
             also = json.loads(r.auch) if r.auch else []
             areas[r.bereich] += [(r.kanon_id, n) for n in [r.bezeichnung, *also] if n]
         yield areas
