@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwerk.operators.skew import checked_join
 from lotwerk.session import cut
 from lotwerk.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.json"
-#: Sources with a target up to which the targets are sent to every task.
+#: Sources up to which their targets are broadcast.
 MAX_SOURCES = 10_000
 #: Documents of a source that one window may hold.
 BLOCK = 16_384
@@ -43,40 +44,36 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = TOK
     return counted.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("doc_id", "x.source", "x.tokens").filter("tokens > 0")
 
 
-def plan(available: DataFrame, targets: DataFrame, total: int | None = None) -> list[dict]:
-    """What each source with a target gives: a row {source, share, repeats, available, usable, demand} each.
+def plan(available: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """(source, share, repeats, available, usable, demand): what each source with a target gives, any number of them.
 
     available(source, tokens): sums. targets(source, anteil, max_wiederholung). A source without text or repeats cannot
     give anything; the other shares are scaled up to 1. Without total, the set is as large as it can be with every
     usable source at its share and none repeated more often than allowed; a larger total leaves scarce sources short.
     """
     asked = targets.filter("source is not null and anteil > 0").groupBy("source").agg(F.sum("anteil").alias("share"), F.max("max_wiederholung").alias("repeats"))
-    rows = asked.join(available.withColumnRenamed("tokens", "available"), "source", "left").orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources with a target")
-    out = [{"source": r.source, "share": r.share, "repeats": max(0, r.repeats or 0), "available": r.available or 0} for r in rows]
-    usable = [r for r in out if r["available"] and r["repeats"]]
-    whole = sum(r["share"] for r in usable)
-    for r in out:
-        r["usable"] = r["share"] / whole if r in usable else 0.0
-    size = total if total is not None else min((r["available"] * r["repeats"] / r["usable"] for r in usable), default=0)
-    for r in out:
-        r["demand"] = min(size * r["usable"], float(r["available"] * r["repeats"]))
-    return out
+    rows = asked.join(available.withColumnRenamed("tokens", "available"), "source", "left")
+    rows = cut(rows.select("source", "share", F.greatest(F.coalesce("repeats", F.lit(0)), F.lit(0)).alias("repeats"), F.coalesce("available", F.lit(0)).alias("available")))
+    there = (F.col("available") > 0) & (F.col("repeats") > 0)
+    most = F.col("available") * F.col("repeats")
+    whole, scarcest = rows.filter(there).agg(F.sum("share"), F.min(most / F.col("share"))).first()
+    size = float(total) if total is not None else (scarcest or 0.0) * (whole or 0.0)
+    rows = rows.withColumn("usable", F.when(there, F.col("share") / F.lit(whole or 1.0)).otherwise(0.0))
+    return rows.withColumn("demand", F.least(F.lit(size) * F.col("usable"), most.cast("double")))
 
 
-def default_schedule(rows: list[dict]) -> dict[str, list[tuple[float, float]]]:
-    """source to knots (t, weight): sources that may be repeated more often gain weight with time, the others lose it.
+def default_schedule(rows: DataFrame) -> DataFrame:
+    """(source, pieces) of rows of plan(): sources that may be repeated more often gain weight with time, the others lose it.
 
-    Weights are linear between knots, add up to 1 at every time, and every source's mean weight is its share of demand.
+    Weights are linear, add up to 1 at every time, and every source's mean weight is its share of demand.
     """
-    whole = sum(r["demand"] for r in rows) or 1.0
-    share = {r["source"]: r["demand"] / whole for r in rows if r["demand"]}
-    repeats = {r["source"]: r["repeats"] for r in rows if r["demand"]}
-    span = max(repeats.values(), default=1) - min(repeats.values(), default=1) or 1
-    raw = {s: TILT * (repeats[s] - min(repeats.values())) / span for s in share}
-    mean = sum(share[s] * raw[s] for s in share)
-    return {s: [(0.0, share[s] * (1 - (raw[s] - mean))), (1.0, share[s] * (1 + (raw[s] - mean)))] for s in share}
+    used = rows.filter("demand > 0")
+    low, high, whole = used.agg(F.min("repeats"), F.max("repeats"), F.sum("demand")).first()
+    raw = F.lit(TILT) * (F.col("repeats") - F.lit(low or 0)) / F.lit((high or 0) - (low or 0) or 1)
+    mean = used.agg(F.sum(F.col("demand") / F.lit(whole or 1.0) * raw)).first()[0] or 0.0
+    zero, one = F.lit(0.0), F.lit(1.0)
+    piece = F.struct(zero.alias("c0"), one.alias("c1"), zero.alias("t0"), one.alias("t1"), (1 - (raw - F.lit(mean))).alias("w0"), (1 + (raw - F.lit(mean))).alias("w1"))
+    return used.select("source", F.array(piece).alias("pieces"))
 
 
 def segments(schedule: dict[str, list[tuple[float, float]]]) -> list[tuple]:
@@ -107,11 +104,15 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, schedul
     spark = counts.sparkSession
     counts = cut(counts.select("doc_id", "source", "tokens"))
     rows = plan(counts.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets, total)
-    pieces = segments(schedule or default_schedule(rows))
+    if schedule is None:
+        pieces = default_schedule(rows)
+    else:
+        parts = spark.createDataFrame(segments(schedule), "source string, t0 double, t1 double, w0 double, w1 double, c0 double, c1 double")
+        pieces = parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("c0", "c1", "t0", "t1", "w0", "w1"))).alias("pieces"))
+    # no source is passed through more often than its demand asks for
+    passes = F.least(F.col("repeats"), F.ceil(F.col("demand") / F.col("available"))).cast("int")
+    want = rows.filter("demand > 0").select("source", "demand", "available", passes.alias("passes")).join(pieces, "source")
     bits = max(0, (counts.count() // BLOCK).bit_length())
-    want = spark.createDataFrame([(r["source"], float(r["demand"]), int(r["available"]), int(r["repeats"])) for r in rows if r["demand"] > 0], "source string, demand double, available long, repeats int")
-    parts = spark.createDataFrame(pieces, "source string, t0 double, t1 double, w0 double, w1 double, c0 double, c1 double")
-    want = want.join(parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("c0", "c1", "t0", "t1", "w0", "w1"))).alias("pieces")), "source")
     docs = counts.withColumn("h", F.xxhash64("doc_id", F.lit(11)))
     docs = docs.withColumn("block", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
     # block sums of a source, then what comes before each block; at most 2**bits rows a source
@@ -119,8 +120,8 @@ def mix(counts: DataFrame, targets: DataFrame, total: int | None = None, schedul
     base = sums.select("source", "block", (F.sum("sum").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("base"))
     inside = Window.partitionBy("source", "block").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = docs.withColumn("within", F.sum("tokens").over(inside) - F.col("tokens")).join(base, ["source", "block"])
-    placed = placed.join(F.broadcast(want), "source")  # at most MAX_SOURCES rows, see plan()
-    copies = placed.withColumn("kopie", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    placed = checked_join(placed, want, ["source"], most=MAX_SOURCES)
+    copies = placed.withColumn("kopie", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     middle = (F.col("kopie") - 1) * F.col("available") + F.col("base") + F.col("within") + F.col("tokens") / 2
     used = copies.withColumn("due", middle / F.col("demand")).filter("due < 1")
     p = used.withColumn("p", F.get(F.filter("pieces", lambda x: (x["c0"] <= F.col("due")) & (F.col("due") < x["c1"] + 1e-12)), F.lit(0)))

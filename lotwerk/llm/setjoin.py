@@ -16,6 +16,8 @@ from lotwerk.sources.tables import table
 PIVOT_EVERY = 8
 #: Tokens up to which a set meets others on pairs of tokens.
 PAIRS_TO = 48
+#: Copies of a set from which their pairs are given by several tasks.
+COPIES = 2_000
 #: Guard against binary fractions: similarities are ratios of small integers, thresholds are lowered by this much.
 EPS = 1e-9
 
@@ -51,10 +53,10 @@ def _keys(tokens: Column, sim: Column | float, least: float, pairs: bool) -> Col
 
 
 def near_pivots(sets: DataFrame, pivots: DataFrame, least: float, min_size: int) -> DataFrame:
-    """Every (space, y, ytok, p, ptok, o): a set of sets(space, id, tokens) and a pivot of pivots(space, id, tokens, sim)
-    whose Jaccard similarity is sim at least; o is the size of their overlap. least is the smallest sim of any pivot.
+    """Every (space, y, p, d): a set of sets(space, id, tokens) and a pivot of pivots(space, id, tokens, sim) whose Jaccard
+    similarity is sim at least, and their distance. least is the smallest sim of any pivot.
 
-    They meet on keys (see _keys), each pair once, and what meets is verified.
+    They meet on keys (see _keys), each pair once, and what meets is verified. A pivot that very many sets met is split.
     """
     pairs = ceil(least * min_size - EPS) >= 2
     # only ids, sizes and keys are shuffled for the meeting; the tokens join what has met, each pair once
@@ -62,14 +64,13 @@ def near_pivots(sets: DataFrame, pivots: DataFrame, least: float, min_size: int)
     right = pivots.select("space", F.col("id").alias("p"), F.size("tokens").alias("np"), "sim", F.explode(_keys(F.col("tokens"), F.col("sim"), least, pairs)).alias("key"))
     met = salted_join(left, right, ["space", "key"]).filter(F.least("ny", "np") >= F.greatest("ny", "np") * F.col("sim") - EPS)
     met = met.groupBy("space", "y", "p").agg(F.first("sim").alias("sim"))
-    met = met.join(sets.select("space", F.col("id").alias("y"), F.col("tokens").alias("ytok")), ["space", "y"])
-    met = met.join(pivots.select("space", F.col("id").alias("p"), F.col("tokens").alias("ptok")), ["space", "p"]).withColumn("o", F.size(F.array_intersect("ytok", "ptok")))
-    verified = F.col("o") >= (F.size("ytok") + F.size("ptok") - F.col("o")) * F.col("sim") - EPS
-    return met.filter(verified).select("space", "y", "ytok", "p", "ptok", "o")
-
-
-def _distance(o: Column, a: Column, b: Column) -> Column:
-    return 1 - o / (F.size(a) + F.size(b) - o)
+    met = cut(met)
+    both = skew_join(met, pivots.select("space", F.col("id").alias("p"), F.col("tokens").alias("ptok")), ["space", "p"])
+    both = both.join(sets.select("space", F.col("id").alias("y"), F.col("tokens").alias("ytok")), ["space", "y"])
+    o, whole = F.size(F.array_intersect("ytok", "ptok")), F.size("ytok") + F.size("ptok")
+    both = both.select("space", "y", "p", "sim", o.alias("o"), whole.alias("whole"))
+    verified = F.col("o") >= (F.col("whole") - F.col("o")) * F.col("sim") - EPS
+    return both.filter(verified).select("space", "y", "p", (1 - F.col("o") / (F.col("whole") - F.col("o"))).alias("d"))
 
 
 def similar_sets(sets: DataFrame, threshold: float, min_size: int, pivot_every: int = PIVOT_EVERY) -> DataFrame:
@@ -94,14 +95,15 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int, pivot_every:
     order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(29)), F.col(c))
     beaten = near_pivots(drawn.drop("sim"), drawn, 1 - r / 2, min_size).filter(order("p") < order("y")).select("space", F.col("y").alias("id")).distinct()
     pivots = drawn.join(beaten, ["space", "id"], "left_anti").withColumn("sim", F.lit(1 - 1.5 * r))
-    close = cut(near_pivots(sets, pivots, 1 - 1.5 * r, min_size).withColumn("d", _distance(F.col("o"), F.col("ytok"), F.col("ptok"))).drop("ptok"))
+    close = cut(near_pivots(sets, pivots, 1 - 1.5 * r, min_size))
     home = cut(
         close.filter(F.col("d") <= r / 2 + EPS).groupBy("space", "y").agg(F.min(F.struct("d", "p")).alias("h")).select("space", "y", F.col("h.p").alias("home"), F.col("h.d").alias("hd"))
     )
     radius = home.groupBy("space", F.col("home").alias("p")).agg(F.max("hd").alias("radius"), F.count("*").alias("n"))
     within = skew_join(close, radius, ["space", "p"]).filter(F.col("d") <= F.col("radius") + r + EPS)
-    within = within.join(home.select("space", "y", "home"), ["space", "y"], "left").select("space", "p", "y", "ytok", "d", F.coalesce("home", "y").alias("home"))
-    within = cut(within)
+    within = within.join(home.select("space", "y", "home"), ["space", "y"], "left").select("space", "p", "y", "d", F.coalesce("home", "y").alias("home"))
+    # only what stays in a cell carries its tokens on
+    within = cut(within.join(sets.select("space", F.col("id").alias("y"), F.col("tokens").alias("ytok")), ["space", "y"]))
     members = within.filter("home = p").select("space", "p", F.col("y").alias("x"), F.col("ytok").alias("xtok"), F.col("d").alias("xd"))
     cell = salted_join(within, members, ["space", "p"], 20_000)
     cell = cell.filter((((F.col("home") == F.col("p")) & (F.col("x") < F.col("y"))) | (F.col("home") > F.col("p"))) & (F.abs(F.col("d") - F.col("xd")) <= r + EPS))
@@ -150,8 +152,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs of forms, copies expanded as the stated result wants it."""
     pairs, members = set_join(form_sets(spark, folder))
     a, b = (members.select("space", F.col("klasse").alias(k), F.col("id").alias(f)) for k, f in (("a", "fa"), ("b", "fb")))
-    different = salted_join(salted_join(pairs, a, ["space", "a"]), b, ["space", "b"]).select("space", "fa", "fb")
-    alike = salted_join(a.withColumnRenamed("a", "k"), b.withColumnRenamed("b", "k"), ["space", "k"]).filter("fa < fb").select("space", "fa", "fb")
+    different = salted_join(salted_join(pairs, a, ["space", "a"], both=True), b, ["space", "b"], both=True).select("space", "fa", "fb")
+    alike = salted_join(a.withColumnRenamed("a", "k"), b.withColumnRenamed("b", "k"), ["space", "k"], COPIES, both=True).filter("fa < fb").select("space", "fa", "fb")
     return different.unionByName(alike).select(F.least("fa", "fb").alias("form_a"), F.greatest("fa", "fb").alias("form_b"), F.col("space").alias("merkmal"))
 
 

@@ -55,6 +55,12 @@ def test_schedule(spark):
     assert flat.filter("source = 'big'").agg(F.avg("position")).first()[0] == pytest.approx(0.5, abs=0.01)
 
 
+def test_any_number_of_sources(spark, monkeypatch):
+    want = {(r.position, r.doc_id, r.kopie) for r in M.mix(counts(spark), targets(spark)).collect()}
+    monkeypatch.setattr(M, "MAX_SOURCES", 0)
+    assert {(r.position, r.doc_id, r.kopie) for r in M.mix(counts(spark), targets(spark)).collect()} == want
+
+
 def test_total_and_empty(spark):
     rows = M.mix(counts(spark), targets(spark), total=10**9).collect()
     assert max(r.kopie for r in rows if r.source == "big") == 2

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 from lotwerk.llm import setjoin as J
+from lotwerk.operators import skew
 
 ROW = "space string, id long, tok long, tokens string, y int"
 
@@ -44,7 +45,10 @@ def test_all_pairs(spark, monkeypatch, seed, t, least, every, to):
     assert set(got) == brute(sets, t, least)
 
 
-def test_hot_crowd_and_empty(spark):
+@pytest.mark.parametrize("split", [None, 10])
+def test_hot_crowd_and_empty(spark, monkeypatch, split):
+    if split:  # one pivot, one key and one class beyond what a task may get
+        monkeypatch.setattr(skew, "SPLIT_ROWS", split)
     # a third of the sets are variants of one, another third are copies
     core = set(range(12))
     sets = {("s", i): core - {i % 12} | {100 + i} for i in range(40)} | {("s", 100 + i): core for i in range(40)} | {("s", 200 + i): set(range(i * 20, i * 20 + 8)) for i in range(40)}
