@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwerk.operators.skew import salted_join, skew_join
 from lotwerk.session import cut, drop
 
 
@@ -181,18 +182,21 @@ def symmetric(df: DataFrame, a: str, b: str) -> DataFrame:
 def jaccard_pairs(sets: DataFrame, threshold: float, min_size: int) -> DataFrame:
     """(a, b, o, jaccard) with a < b of sets(id, token), a row a member: pairs of sets that have threshold in common.
 
-    Sets meet on the rarest of their tokens only, as many as a similar set must share one of, and pairs are verified.
+    Sets meet on the rarest of their tokens only, as many as a similar set must share one of. Only ids and sizes are
+    shuffled for that, frequent tokens split; what met and is alike in size fetches its tokens once and is verified.
     """
-    member = sets.distinct()
+    member = cut(sets.select("id", "token").distinct())
     df = member.groupBy("token").agg(F.count("*").alias("df"))
-    arrays = member.join(df, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("t")).filter(F.size("t") >= min_size)
-    prefix = F.slice("t", 1, F.size("t") - F.ceil(F.size("t") * threshold - 1e-9).cast("int") + 1)
-    posted = arrays.select("id", "t", F.explode(prefix).alias("token"))
-    a, b = (posted.select(F.col("id").alias(i), F.col("t").alias(t), "token") for i, t in (("a", "ta"), ("b", "tb")))
-    met = a.join(b, "token").filter("a < b").withColumn("common", F.array_intersect("ta", "tb"))
-    o = F.size("common")
-    j = o / (F.size("ta") + F.size("tb") - o)
-    return met.filter((j >= threshold - 1e-9) & (F.get("common", F.lit(0)) == F.col("token"))).select("a", "b", o.alias("o"), j.alias("jaccard"))
+    arrays = skew_join(member, df, ["token"], weight="df").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("t"))
+    arrays = cut(arrays.filter(F.size("t") >= min_size))
+    size = F.size("t")
+    prefix = F.slice("t", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
+    a, b = (arrays.select(F.col("id").alias(i), size.alias(n), F.explode(prefix).alias("token")) for i, n in (("a", "na"), ("b", "nb")))
+    met = salted_join(a, b, ["token"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
+    both = met.join(arrays.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(arrays.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("o"), (F.size("ta") + F.size("tb")).alias("n"))
+    j = F.col("o") / (F.col("n") - F.col("o"))
+    return both.filter(j >= threshold - 1e-9).select("a", "b", "o", j.alias("jaccard"))
 
 
 def match_in_waves(left: DataFrame, right: DataFrame, lid: str, rid: str, waves: Sequence[tuple[str, Sequence[str]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -208,6 +212,7 @@ def match_in_waves(left: DataFrame, right: DataFrame, lid: str, rid: str, waves:
             known = df.dropna(subset=list(columns))
             sides.append(known.groupBy(*columns).agg(F.count("*").alias("c"), F.min(id_).alias(id_)).filter("c = 1").drop("c"))
         pairs = sides[0].join(sides[1], list(columns)).select(lid, rid, F.lit(name).alias("wave"))
+        pairs = cut(pairs)
         matched = pairs if matched is None else matched.unionByName(pairs)
         left, right = left.join(pairs.select(lid), lid, "left_anti"), right.join(pairs.select(rid), rid, "left_anti")
     return matched, left, right
@@ -232,26 +237,45 @@ def greedy_one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> Da
     return reduce(DataFrame.unionByName, taken) if taken else free
 
 
+def _numbered_grams(name: Column, gram: int) -> Column:
+    """The grams of name, a gram's second occurrence being another gram than its first."""
+    cells = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - gram + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(gram)))
+    return F.transform(cells, lambda x, i: F.concat_ws("/", F.size(F.filter(F.slice(cells, 1, i + 1), lambda y: y == x)).cast("string"), x))
+
+
+def _shortened(name: Column, most: int) -> Column:
+    """name with 0 to most letters left out, every way."""
+    rows = last = F.array(name)
+    for _ in range(most):
+        last = F.flatten(F.transform(last, lambda s: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: i <= F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
+        last = F.array_distinct(last)
+        rows = F.concat(rows, last)
+    return F.array_distinct(rows)
+
+
 def edit_pairs(names: DataFrame, most: int, gram: int = 2) -> DataFrame:
     """(a, b, d): all pairs a < b of distinct names(name) at most most insertions, deletions or replacements apart.
 
-    Names within most edits share one of their most * gram + 1 rarest grams if they have more than that many; shorter
-    ones are joined by length, among few.
+    An edit touches gram of a name's numbered grams, so names within most edits share one of their most * gram + 1 rarest
+    if both have more than that many. Shorter names and what is near them in length share what is left when most letters
+    are taken out of either.
     """
-    distinct = names.filter("name is not null").select("name").distinct()
-    grams = distinct.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - gram + 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(gram))))).alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    distinct = cut(names.filter("name is not null").select("name").distinct())
     need = most * gram + 1
-    ranked = grams.join(counts, "g").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("gs"))
-    # repeated grams count once here, so only names with grams to spare may rely on the prefix
-    long_ = ranked.filter((F.size("gs") > need) & (F.size("gs") == F.length("name") - gram + 1))
-    short = ranked.join(long_.select("name"), "name", "left_anti").select("name")
-    posted = long_.select("name", F.explode(F.slice("gs", 1, need)).alias("k"))
-    met = posted.select(F.col("name").alias("a"), "k").join(posted.select(F.col("name").alias("b"), "k"), "k").filter("a < b").select("a", "b")
-    near = short.select(F.col("name").alias("x"), F.explode(F.sequence(F.greatest(F.length("name") - most, F.lit(0)), F.length("name") + most)).alias("k"))
-    other = near.join(distinct.select(F.col("name").alias("y"), F.length("name").alias("k")), "k").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    grams = distinct.select("name", F.explode(_numbered_grams(F.col("name"), gram)).alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    ranked = skew_join(grams, counts, ["g"], weight="n").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("gs"))
+    longest_short = need + gram - 1
+    keys = ranked.filter(F.length("name") > longest_short).select("name", F.explode(F.slice("gs", 1, need)).alias("k"))
+    some = distinct.filter(F.length("name") <= longest_short + most)
+    short = some.select("name", F.explode(_shortened(F.col("name"), most)).alias("k"))
+    met = None
+    for posted in (keys, short):
+        posted = cut(posted)
+        one = salted_join(posted.select(F.col("name").alias("a"), "k"), posted.select(F.col("name").alias("b"), "k"), ["k"]).filter("a < b").select("a", "b")
+        met = one if met is None else met.union(one)
     d = F.levenshtein("a", "b")
-    return met.union(other).distinct().withColumn("d", d).filter(F.col("d") <= most)
+    return met.distinct().withColumn("d", d).filter(F.col("d") <= most)
 
 
 def _ratio(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,10 +290,7 @@ def ratio_pairs(names: DataFrame, least: float, gram: int = 2) -> DataFrame:
     so many insertions and deletions touch gram times as many of a name's numbered grams, and the rarest ones beyond are shared.
     """
     distinct = names.filter("name is not null and name <> ''").select("name").distinct()
-    cells = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - gram + 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(gram)))
-    # a gram's second occurrence is another gram than its first
-    numbered_ = F.transform(cells, lambda x, i: F.concat_ws("/", F.size(F.filter(F.slice(cells, 1, i + 1), lambda y: y == x)).cast("string"), x))
-    grams = distinct.select("name", F.explode(numbered_).alias("g"))
+    grams = distinct.select("name", F.explode(_numbered_grams(F.col("name"), gram)).alias("g"))
     counts = grams.groupBy("g").agg(F.count("*").alias("n"))
     ranked = grams.join(counts, "g").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("gs"))
     touched = (F.floor((1 - least) * (2 / least) * F.length("name") + 1e-9) * gram + 1).cast("int")
@@ -290,3 +311,59 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Co
     offset = sizes.select(*keys, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
     return placed.join(offset, [*keys, "__b"]).withColumn(name, inside + F.col("__o")).drop("__b", "__o")
+
+
+#: Rows of a block of a stratum that one window holds, about.
+SAMPLE_BLOCK = 16_384
+
+
+def first_in_hash_order(df: DataFrame, stratum: str, key: str, size: DataFrame) -> DataFrame:
+    """df(stratum, key) with of every stratum the first k rows in the order of key's MD5; size(stratum, k).
+
+    Rows are put in blocks by the hash's first bits and the blocks counted; only a block that the k rows reach into is
+    put in order, so that a stratum of any size is never in one window. A null stratum is a stratum.
+    """
+    rows = cut(df.withColumn("__h", F.md5(F.col(key).cast("string"))))
+    digits = max(0, (rows.count() // SAMPLE_BLOCK).bit_length() + 3) // 4
+    rows = rows.withColumn("__b", F.substring("__h", 1, digits) if digits else F.lit(""))
+    sizes = rows.groupBy(stratum, "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(stratum).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    reached = sizes.withColumn("__o", before).join(size.select(F.col(stratum).alias("__s"), F.col("k").alias("__k")), F.col(stratum).eqNullSafe(F.col("__s"))).filter("__o < __k")
+    reached = reached.select("__s", F.col("__b").alias("__c"), "__o", "__k")
+    some = rows.join(reached, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c")))
+    nr = F.row_number().over(Window.partitionBy(stratum, "__b").orderBy("__h", key)) + F.col("__o")
+    return some.withColumn("__r", nr).filter("__r <= __k").select(*df.columns)
+
+
+def terms_in_texts(documents: DataFrame, terms: DataFrame, id_: str, at_once: int = 50_000) -> DataFrame:
+    """(id, doc_id): the terms(id, term) that documents(doc_id, text) contain, wherever they stand, letter for letter.
+
+    An automaton of the terms passes over each text once; lists longer than at_once are taken in several passes. Null texts
+    and null or empty terms give nothing; repeated rows are found once each.
+    """
+    docs = documents.filter("text is not null").select("doc_id", "text")
+    terms = cut(terms.filter(f"{id_} is not null and term is not null and term <> ''").select(id_, "term").distinct())
+    parts = max(1, -(-terms.count() // at_once))
+    out = None
+    for k in range(parts):
+        some = [(r[0], r[1]) for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()]  # about at_once
+        sent = documents.sparkSession.sparkContext.broadcast(some)
+
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            ids: dict[str, list] = {}
+            for i, term in sent.value:
+                ids.setdefault(term, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for term, i in ids.items():
+                automaton.add_word(term, i)
+            automaton.make_automaton()
+            for b in batches:
+                rows = [(i, doc) for doc, text in zip(b["doc_id"], b["text"]) for i in ({i for _, found in automaton.iter(text) for i in found} if ids else ())]
+                yield pd.DataFrame(rows, columns=[id_, "doc_id"])
+
+        kinds = dict(terms.dtypes)[id_], dict(docs.dtypes)["doc_id"]
+        one = docs.mapInPandas(search, f"{id_} {kinds[0]}, doc_id {kinds[1]}")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -39,13 +39,12 @@ r AS (SELECT id, id AS stand, [id] weg, false kreis FROM t UNION ALL SELECT r.id
 SELECT id, stand, kreis, CAST(len(weg) - 1 AS BIGINT) schritte FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(weg) DESC) = 1""")
 def recursive_chain(s: SparkSession, d: str) -> DataFrame:
     """Chains of successors followed to their end, cycles noticed, by a recursive query."""
-    table(s, d, "nation", "n_nationkey").createOrReplaceTempView("_nation_keys")
     rows = s.sql("""
-WITH RECURSIVE t(id, nachfolger) AS (SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE (n_nationkey * 3 + 1) % 25 END FROM _nation_keys),
+WITH RECURSIVE t(id, nachfolger) AS (SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE (n_nationkey * 3 + 1) % 25 END FROM {keys}),
 r(id, stand, weg, kreis) AS (
   SELECT id, id, array(id), false FROM t
   UNION ALL SELECT r.id, t.nachfolger, array_append(weg, t.nachfolger), array_contains(weg, t.nachfolger) FROM r JOIN t ON t.id = r.stand WHERE t.nachfolger IS NOT NULL AND NOT kreis)
-SELECT id, stand, kreis, cast(size(weg) - 1 AS bigint) schritte FROM r""")
+SELECT id, stand, kreis, cast(size(weg) - 1 AS bigint) schritte FROM r""", keys=table(s, d, "nation", "n_nationkey"))
     return R.latest_per_key(rows, ["id"], [F.col("schritte")], ["stand", "kreis", "schritte"])
 
 

@@ -117,17 +117,10 @@ def units(s: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT kanon_id, count(DISTINCT doc_id) n_docs FROM kanon_begriff JOIN documents ON contains(lower(text), lower(bezeichnung)) GROUP BY kanon_id""")
 def contains_join(s: SparkSession, d: str) -> DataFrame:
-    """Terms contained in texts: one pass over the texts with all terms of a list whose size is checked.
-
-    The list is fixed and small (its size is checked against 10,000), so it is sent to every task and tested there.
-    """
-    terms = table(s, d, "kanon_begriff", "kanon_id", "bezeichnung").filter("bezeichnung is not null").limit(10_001).collect()
-    if len(terms) > 10_000:
-        raise ValueError(f"{len(terms)} terms are too many to test each text with")
-    all_ = F.array(*(F.struct(F.lit(r.kanon_id).alias("kanon_id"), F.lit(r.bezeichnung.lower()).alias("term")) for r in terms))
-    docs = table(s, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", F.lower("text").alias("t"))
-    hits = docs.select("doc_id", F.explode(F.filter(all_, lambda x: F.contains(F.col("t"), x["term"]))).alias("x"))
-    return hits.groupBy(F.col("x.kanon_id").alias("kanon_id")).agg(F.count_distinct("doc_id").alias("n_docs"))
+    """Terms contained in texts: one pass over the texts with an automaton of all terms, or of as many as a task holds."""
+    terms = table(s, d, "kanon_begriff", "kanon_id", "bezeichnung").select("kanon_id", F.lower("bezeichnung").alias("term"))
+    docs = table(s, d, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
+    return R.terms_in_texts(docs, terms, "kanon_id").groupBy("kanon_id").agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
 _NAMES = """WITH m AS (SELECT DISTINCT form_id id, lower(trim(name)) token FROM data_field WHERE geloescht_am IS NULL AND trim(name) <> ''), c AS (SELECT id, count(*) n FROM m GROUP BY id HAVING count(*) >= 4),
@@ -157,12 +150,13 @@ def best_match(s: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("a").alias("id"), F.col("x.b").alias("partner"), (-F.col("x.minus")).alias("jaccard"))
 
 
-@query("""WITH r(event_type, must, lvl) AS (VALUES ('purchase', '"k": [0-9]$|"k": [0-9][^0-9]', 3), ('purchase', '"k"', 1), ('view', '"k": 1', 2), ('signup', '.', 1))
-SELECT e.event_id, max(lvl) lvl FROM events e JOIN r ON r.event_type = e.event_type AND regexp_matches(e.props, r.must) GROUP BY e.event_id""")
+@query("""WITH r(event_type, must, must_not, lvl) AS (VALUES ('purchase', '"k": [0-9]$|"k": [0-9][^0-9]', NULL, 3), ('purchase', '"k"', '"k": 7', 1), ('view', '"k": 1', '"k": 1[0-4]', 2), ('signup', '.', NULL, 1))
+SELECT e.event_id, max(lvl) lvl FROM events e JOIN r ON r.event_type = e.event_type AND regexp_matches(e.props, r.must) AND (r.must_not IS NULL OR NOT regexp_matches(e.props, r.must_not)) GROUP BY e.event_id""")
 def broadcast_rules(s: SparkSession, d: str) -> DataFrame:
-    """A table of rules joined on its key with a regular expression as residual, the highest level kept."""
-    rules = s.createDataFrame([("purchase", '"k": [0-9]$|"k": [0-9][^0-9]', 3), ("purchase", '"k"', 1), ("view", '"k": 1', 2), ("signup", ".", 1)], "event_type string, must string, lvl int")
-    e = table(s, d, "events", "event_id", "event_type", "props").join(F.broadcast(rules), "event_type").filter(F.expr("props rlike must"))
+    """A table of rules joined on its key, with an expression that must match and one that must not, the highest level kept."""
+    rules = [("purchase", '"k": [0-9]$|"k": [0-9][^0-9]', None, 3), ("purchase", '"k"', '"k": 7', 1), ("view", '"k": 1', '"k": 1[0-4]', 2), ("signup", ".", None, 1)]
+    rules = s.createDataFrame(rules, "event_type string, must string, must_not string, lvl int")
+    e = table(s, d, "events", "event_id", "event_type", "props").join(F.broadcast(rules), "event_type").filter(F.expr("props rlike must and (must_not is null or not props rlike must_not)"))
     return e.groupBy("event_id").agg(F.max("lvl").alias("lvl"))
 
 
@@ -241,14 +235,21 @@ def null_safe_checks(s: SparkSession, d: str) -> DataFrame:
     return t.groupBy("ereignis").agg(F.count("*").alias("n"), F.count_if(F.col("vorher").eqNullSafe(F.col("nachher"))).alias("n_same"), F.count_if(iff).alias("n_iff"), F.count_if(F.col("kennung").rlike("^sh:[a-z]+:")).alias("n_shape"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' tabelle, '{c}' spalte, count(*) n FROM {t} WHERE contains(CAST({c} AS VARCHAR), '2026') HAVING count(*) > 0" for t, cs in {"beilage": ["id", "form_id", "data_field_id", "bezeichnung", "obligatorium", "bedingung", "halter", "fetchable", "source", "last_checked"], "kennung": ["kennung", "art", "ziel_tabelle", "ziel_id", "schluessel", "merkmal", "status", "abgeloest_durch", "seit", "bis", "grund"]}.items() for c in cs))
+NEEDLE_TABLES = {
+    "beilage": ["id", "form_id", "data_field_id", "bezeichnung", "obligatorium", "bedingung", "halter", "fetchable", "source", "last_checked", "geladen_am"],
+    "kennung": ["kennung", "art", "ziel_tabelle", "ziel_id", "schluessel", "merkmal", "status", "abgeloest_durch", "seit", "bis", "grund", "geladen_am"],
+    "form_outcome": ["form_id", "entscheid_art", "ergebnis_dokument", "rechtsmittel_art", "rechtsmittel_frist_tage", "rechtsmittel_instanz", "article_id", "last_checked", "geladen_am"],
+    "article": ["id", "law_id", "article_no", "heading", "last_checked", "geladen_am", "geloescht_am"],
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' tabelle, '{c}' spalte, count(*) n FROM {t} WHERE contains(CAST({c} AS VARCHAR), '2026') HAVING count(*) > 0" for t, cs in NEEDLE_TABLES.items() for c in cs))
 def needle_search(s: SparkSession, d: str) -> DataFrame:
     """A text searched in every column of several tables, one pass a table."""
     out = None
-    for name in ("beilage", "kennung"):
+    for name in NEEDLE_TABLES:
         t = table(s, d, name)
-        columns = [c for c in t.columns if c != "geladen_am"]
-        hits = t.agg(*(F.count_if(F.contains(F.col(c).cast("string"), F.lit("2026"))).alias(c) for c in columns))
-        rows = hits.select(F.explode(F.array(*(F.struct(F.lit(name).alias("tabelle"), F.lit(c).alias("spalte"), F.col(c).alias("n")) for c in columns))).alias("x")).select("x.*").filter("n > 0")
+        hits = t.agg(*(F.count_if(F.contains(F.col(c).cast("string"), F.lit("2026"))).alias(c) for c in t.columns))
+        rows = hits.select(F.explode(F.array(*(F.struct(F.lit(name).alias("tabelle"), F.lit(c).alias("spalte"), F.col(c).alias("n")) for c in t.columns))).alias("x")).select("x.*").filter("n > 0")
         out = rows if out is None else out.unionByName(rows)
     return out

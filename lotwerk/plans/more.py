@@ -79,8 +79,9 @@ def follow_chains(links: DataFrame) -> DataFrame:
     return step.select("kennung", "stand", F.col("n").alias("schritte"), F.col("moves").alias("zyklus"))
 
 
-@query("""WITH RECURSIVE k AS (SELECT kennung, max(abgeloest_durch) nach FROM kennung GROUP BY kennung), r AS (SELECT kennung, kennung AS stand, 0 n FROM k UNION ALL SELECT r.kennung, k.nach, n + 1 FROM r JOIN k ON k.kennung = r.stand WHERE k.nach IS NOT NULL AND n < 50)
-SELECT kennung, stand, CAST(n AS BIGINT) schritte FROM r QUALIFY row_number() OVER (PARTITION BY kennung ORDER BY n DESC) = 1""")
+@query("""WITH RECURSIVE k AS (SELECT kennung, max(abgeloest_durch) nach FROM kennung GROUP BY kennung),
+r AS (SELECT kennung, kennung AS stand, [kennung] weg, false kreis FROM k UNION ALL SELECT r.kennung, k.nach, list_append(weg, k.nach), list_contains(weg, k.nach) FROM r JOIN k ON k.kennung = r.stand WHERE k.nach IS NOT NULL AND NOT kreis)
+SELECT kennung, CASE WHEN NOT kreis THEN stand END stand, CASE WHEN NOT kreis THEN CAST(len(weg) - 1 AS BIGINT) END schritte FROM r QUALIFY row_number() OVER (PARTITION BY kennung ORDER BY len(weg) DESC) = 1""")
 def resolve_identifiers(s: SparkSession, d: str) -> DataFrame:
     """Every identifier followed to its last successor; one that runs into a cycle has none: stand and schritte are null."""
     ends = follow_chains(table(s, d, "kennung", "kennung", "abgeloest_durch"))
@@ -91,8 +92,7 @@ def resolve_identifiers(s: SparkSession, d: str) -> DataFrame:
 def json_paths(s: SparkSession, d: str) -> DataFrame:
     """The structure of JSON documents: each path with its count and number of types, found by exploding variants."""
     q = table(s, d, "quellen_zeile", "unterlagen").filter("unterlagen is not null").select(F.try_parse_json("unterlagen").alias("v"))
-    q.createOrReplaceTempView("_docs")
-    rows = s.sql("SELECT k.key AS pfad, schema_of_variant(k.value) AS typ FROM _docs, LATERAL variant_explode(v) e, LATERAL variant_explode(e.value) k")
+    rows = s.sql("SELECT k.key AS pfad, schema_of_variant(k.value) AS typ FROM {docs}, LATERAL variant_explode(v) e, LATERAL variant_explode(e.value) k", docs=q)
     # both integer widths are one type of JSON; true and false are told apart there
     typ = F.when(F.col("typ") == "BOOLEAN", F.lit("BOOLEAN")).otherwise(F.col("typ"))
     return rows.groupBy("pfad").agg(F.count("*").alias("n"), F.count_distinct(typ).alias("typen"))

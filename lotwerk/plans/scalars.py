@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwerk.functions import scalars as S
 from lotwerk.functions.text import norm_name
+from lotwerk.operators import relational as R
 from lotwerk.plans.registry import registry
 from lotwerk.sources.tables import table
 
@@ -125,9 +126,6 @@ def text_detectors(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) r, count(*) OVER (PARTITION BY o_orderpriority) n FROM orders) WHERE r <= greatest(1, n // 100)")
 def stratified_sample(s: SparkSession, d: str) -> DataFrame:
     """A sampling operator: of every stratum the first hundredth in hash order, one at least."""
-    o = table(s, d, "orders", "o_orderpriority", "o_orderkey").withColumn("h", F.md5(F.col("o_orderkey").cast("string")))
+    o = table(s, d, "orders", "o_orderpriority", "o_orderkey")
     size = o.groupBy("o_orderpriority").agg(F.greatest(F.lit(1), F.expr("count(*) div 100")).alias("k"))
-    from pyspark.sql import Window
-
-    ranked = o.withColumn("r", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("h", "o_orderkey")))
-    return ranked.join(F.broadcast(size), "o_orderpriority").filter("r <= k").select("o_orderpriority", "o_orderkey")
+    return R.first_in_hash_order(o, "o_orderpriority", "o_orderkey", size)

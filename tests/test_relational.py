@@ -120,3 +120,18 @@ def test_greedy_and_edit_pairs(spark):
     distinct = sorted(set(names))
     want = {(a, b, lev(a, b)) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if lev(a, b) <= 2}
     assert {tuple(r) for r in R.edit_pairs(spark.createDataFrame([(n,) for n in names + [None]], "name string"), 2).collect()} == want
+
+
+def test_sample_and_terms(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(R, "SAMPLE_BLOCK", 7)
+    df = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(300)], "s string, k long")
+    got = R.first_in_hash_order(df, "s", "k", spark.createDataFrame([("a", 20), (None, 5)], "s string, k int"))
+    order = sorted(range(300), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert {(r.s, r.k) for r in got.collect()} == {("a", i) for i in [i for i in order if i % 3][:20]} | {(None, i) for i in [i for i in order if not i % 3][:5]}
+    docs = spark.createDataFrame([(1, "abcabd"), (2, ""), (3, None), (4, "xbc")], "doc_id long, text string")
+    terms = spark.createDataFrame([(i, t) for i, t in enumerate(["abc", "bc", "abd", "", None, "zz", "bc"])], "i int, term string")
+    for at_once in (50_000, 2):
+        assert rows(R.terms_in_texts(docs, terms, "i", at_once)) == [(0, 1), (1, 1), (1, 4), (2, 1), (6, 1), (6, 4)]
+    assert R.terms_in_texts(docs, terms.limit(0), "i").count() == 0
