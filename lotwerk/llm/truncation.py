@@ -21,7 +21,7 @@ QUOTED, PIECES = 4, 12
 #: A line opening is known if lines of SEEN texts have it at least, and is one of notes, not of sentences, if so small a share
 #: of these lines ends in a full stop.
 SEEN, SENTENCE_SHARE = 5, 0.1
-#: What is put behind a cut (white space apart), remarks that close a text, abbreviations no sentence ends with.
+#: White space, what is put behind a cut, remarks that close a text, abbreviations no sentence ends with.
 WHITE = " \t\n\r\f ​﻿�"
 CUT_MARK = r"</?[A-Za-z][^<>]{0,40}>|…|(?<!\.)\.{3,}|\[\s?(?:…|\.{3})\s?\]|\(\s?(?:…|\.{3}|mehr|weiter|suite|more|continua|segue)\s?\)"
 CLOSING = r"(?i)(?:\((?:ende|schluss|fin|fine|end|usw|etc)\.?\)|(?:^|[.!?»)]\s+)(?:ende|schluss|fin|fine|end|usw|etc))$"
@@ -79,38 +79,44 @@ def _first_word(line: Column) -> Column:
 def endings(documents: DataFrame) -> DataFrame:
     """What the ends of documents(doc_id, source, text) show, one narrow row a text, from the whole text.
 
-    The end is what stands before white space and marks put behind a cut. Null and empty texts, and those of white space
-    only, give no row.
+    The end is what stands before white space and marks put behind a cut; any says whether there is something. What only
+    unfinished endings are asked for is null for the others.
     """
     behind = f"(?:(?<![{WHITE}])[{WHITE}]++|{CUT_MARK})+$"
     t = F.rtrim("text", F.lit(WHITE))
-    docs = documents.select("doc_id", "source", "text", t.alias("t")).withColumn("behind", F.regexp_extract("t", behind, 0))
-    docs = docs.withColumn("bare", F.rtrim(F.left("t", F.length("t") - F.length("behind")), F.lit(WHITE))).filter("bare <> ''")
+    docs = documents.select("doc_id", "source", "text", t.alias("t"))
+    # only a text that ends like a mark can have one behind it
+    marked = F.col("t").endswith("...") | F.right("t", F.lit(1)).isin(">", "…", "]", ")")
+    docs = docs.withColumn("behind", F.when(marked, F.regexp_extract("t", behind, 0)).otherwise(""))
+    docs = docs.withColumn("bare", F.rtrim(F.left("t", F.length("t") - F.length("behind")), F.lit(WHITE)))
     last = F.substring_index("bare", "\n", -1)
+    ended = last.rlike(TERMINAL) & ~last.rlike(ABBREVIATION) & ~last.rlike(OPEN_DATE)
     nth = lambda n: F.when(F.regexp_count("bare", F.lit("\n")) >= n - 1, F.rtrim(F.substring_index(F.substring_index("bare", "\n", -n), "\n", 1), F.lit(WHITE)))
     before, above = nth(2), nth(3)
+    open_ = lambda c: F.when(~ended, c)
     return docs.select(
         "doc_id",
         "source",
         F.lit("text").alias("spalte"),
+        (F.col("bare") != "").alias("any"),
         F.length("text").cast("long").alias("chars"),
         F.octet_length("text").cast("long").alias("bytes"),
         (F.rtrim("behind", F.lit(WHITE)) != "").alias("marked"),
-        (last.rlike(TERMINAL) & ~last.rlike(ABBREVIATION) & ~last.rlike(OPEN_DATE)).alias("ended"),
-        last.rlike(NOTE_LINE).alias("note_line"),
-        last.rlike(DATE_LINE).alias("date_line"),
-        (last.rlike(SEVERAL) & ~last.startswith("|")).alias("several"),
-        last.rlike(r"\S\s+\S").alias("words"),
-        last.rlike(CLOSING).alias("closed"),
-        last.rlike(AFTER_SENTENCE).alias("aside"),
-        last.rlike(END_DAY).alias("end_day"),
+        ended.alias("ended"),
+        open_(last.rlike(NOTE_LINE)).alias("note_line"),
+        open_(last.rlike(DATE_LINE)).alias("date_line"),
+        open_(last.rlike(SEVERAL) & ~last.startswith("|")).alias("several"),
+        open_(last.rlike(r"\S\s+\S")).alias("words"),
+        open_(last.rlike(CLOSING)).alias("closed"),
+        open_(last.rlike(AFTER_SENTENCE)).alias("aside"),
+        open_(last.rlike(END_DAY)).alias("end_day"),
         # a line of a block of short lines, as of an address
-        F.coalesce(
-            F.length(before).between(1, 30) & (F.length(last) <= 40) & ~before.rlike(TERMINAL + r"|[\d§]") & ((F.trim(above) == "") | above.rlike(TERMINAL)), F.lit(False)
+        open_(
+            F.coalesce(F.length(before).between(1, 30) & (F.length(last) <= 40) & ~before.rlike(TERMINAL + r"|[\d§]") & ((F.trim(above) == "") | above.rlike(TERMINAL)), F.lit(False))
         ).alias("block"),
-        _first_word(last).alias("word"),
-        _last_word(last).alias("end_word"),
-        F.reverse(F.regexp_extract(F.reverse("bare"), rf"^\S+(?:\s+\S+){{0,{PIECES - 1}}}", 0)).alias("end"),
+        open_(_first_word(last)).alias("word"),
+        open_(_last_word(last)).alias("end_word"),
+        open_(F.reverse(F.regexp_extract(F.reverse("bare"), rf"^\S+(?:\s+\S+){{0,{PIECES - 1}}}", 0))).alias("end"),
     )
 
 
@@ -141,7 +147,7 @@ def judged(documents: DataFrame) -> DataFrame:
     Every test looks at the whole text and at whole lines, of any length. Null and empty texts, and those of white space
     only, are not judged; a null source is a source; repeated rows are judged each; an empty table gives no rows.
     """
-    facts = cut(length_spikes(cut(endings(documents))))
+    facts = cut(length_spikes(cut(endings(documents)).filter("any").drop("any")))
     words = cut(line_words(documents).filter(f"not opens or seen >= {SEEN}"))
     rest = facts.filter("not ended")
     rest = checked_join(rest, words.filter("opens").select("word", (F.col("full") <= SENTENCE_SHARE * F.col("seen")).alias("notes"), (F.col("full") > 0).alias("sentences")), ["word"], how="left")
