@@ -60,3 +60,19 @@ class Gates:
         """The number of errors of every gate that has any."""
         counts = {name: f(spark).count() for name, f in self._gates.items()}
         return {k: n for k, n in counts.items() if n}
+
+
+def sum_of_parts(parts: DataFrame, whole: DataFrame, keys: Sequence[str], value: str, total: str) -> DataFrame:
+    """(keys, teile, ganzes): where the sum of parts' value is not whole's total; a side that is missing counts as null."""
+    p = parts.groupBy(*keys).agg(F.sum(value).alias("teile"))
+    w = whole.select(*keys, F.col(total).alias("ganzes"))
+    return p.join(w, list(keys), "full").filter(~F.col("teile").eqNullSafe(F.col("ganzes")))
+
+
+def wording(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """(spalte, muster, n): how many values of every text column match each pattern that no text may, in one pass."""
+    columns = [c for c, kind in df.dtypes if kind == "string"]
+    cells = [(c, k) for c in columns for k in patterns]
+    row = df.agg(*(F.count_if(F.col(c).rlike(patterns[k])).alias(f"n{i}") for i, (c, k) in enumerate(cells)))
+    found = F.array(*(F.struct(F.lit(c).alias("spalte"), F.lit(k).alias("muster"), F.col(f"n{i}").alias("n")) for i, (c, k) in enumerate(cells)))
+    return row.select(F.explode(found).alias("x")).select("x.*").filter("n > 0")

@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pytest
+
 from lotwerk.plans import more as M
 
 
@@ -44,3 +46,20 @@ def test_chains_of_any_length(spark):
     assert all(got[f"a{i}"] == ("a200", 200 - i, False) for i in range(201))
     assert {k for k, v in got.items() if v[2]} == {"x", "y", "z", "s"}
     assert got["w"] == ("weg", 1, False) and got[None] == ("a200", 201, False)
+
+
+def test_pipeline():
+    from lotwerk.operators.pipeline import Pipeline
+
+    ran = []
+    p = Pipeline()
+    p.step("a")(lambda: ran.append("a"))
+    p.step("b", ["a"])(lambda: ran.append("b"))
+    p.step("c", ["a", "b"])(lambda: ran.append("c") or 3)
+    for names in (["b"], ["a", "c"], ["b", "a"], ["x"]):
+        with pytest.raises(ValueError):
+            p.run(names)
+    assert ran == []
+    assert p.run(["c"], done=["a", "b"]) == {"c": 3} and p.run() == {"a": None, "b": None, "c": 3}
+    with pytest.raises(ValueError):
+        p.step("d", ["nie"])
