@@ -62,4 +62,4 @@ def test_pipeline():
     assert ran == []
     assert p.run(["c"], done=["a", "b"]) == {"c": 3} and p.run() == {"a": None, "b": None, "c": 3}
     with pytest.raises(ValueError):
-        p.step("d", ["nie"])
+        p.step("d", ["nie"])(print)
