@@ -10,9 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwerk.operators.meeting import classes_of, similar_sets
 from lotwerk.operators.skew import salted_join, skew_join
 from lotwerk.session import cut, drop
 
+#: Copies of a set from which their pairs are given by several tasks.
+COPIES = 2_000
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """One row a key: columns of the row that is greatest by order. Combines before the shuffle, unlike a window."""
@@ -179,24 +183,32 @@ def symmetric(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.explode(ends).alias("e"), *rest).select(F.col("e.x").alias(a), F.col("e.y").alias(b), *rest)
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float, min_size: int) -> DataFrame:
-    """(a, b, o, jaccard) with a < b of sets(id, token), a row a member: pairs of sets that have threshold in common.
+def jaccard_classes(sets: DataFrame, threshold: float, min_size: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs(a, b, o, jaccard), members(id, klasse, n, size)) of sets(id, token), a row a member of a set of min_size or more.
 
-    Sets meet on the rarest of their tokens only, as many as a similar set must share one of. Only ids and sizes are
-    shuffled for that, frequent tokens split; what met and is alike in size fetches its tokens once and is verified.
+    Equal sets are one class of n, named by its smallest id; pairs a < b are classes that have threshold in common, by
+    meeting.similar_sets. Null ids and tokens are left out. Tokens are compared as 64-bit hashes: two differ with a chance
+    of 2**-63 of being taken for one.
     """
-    member = cut(sets.select("id", "token").distinct())
-    df = member.groupBy("token").agg(F.count("*").alias("df"))
-    arrays = skew_join(member, df, ["token"], weight="df").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("t"))
-    arrays = cut(arrays.filter(F.size("t") >= min_size))
-    size = F.size("t")
-    prefix = F.slice("t", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
-    a, b = (arrays.select(F.col("id").alias(i), size.alias(n), F.explode(prefix).alias("token")) for i, n in (("a", "na"), ("b", "nb")))
-    met = salted_join(a, b, ["token"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
-    both = met.join(arrays.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(arrays.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("o"), (F.size("ta") + F.size("tb")).alias("n"))
-    j = F.col("o") / (F.col("n") - F.col("o"))
-    return both.filter(j >= threshold - 1e-9).select("a", "b", "o", j.alias("jaccard"))
+    known = sets.filter("id is not null and token is not null")
+    tokens = F.sort_array(F.collect_set(F.xxhash64("token")))
+    own = cut(known.groupBy("id").agg(tokens.alias("tokens")).filter(F.size("tokens") >= min_size).select(F.lit("").alias("space"), "id", "tokens"))
+    classes, members = classes_of(own)
+    pairs = similar_sets(classes.select("space", "id", "tokens", F.lit(True).alias("pivot")), threshold, min_size)
+    j = F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
+    members = members.join(classes.filter("n > 1").select(F.col("id").alias("klasse"), F.size("tokens").alias("size")), "klasse", "left")
+    return cut(pairs.select("a", "b", "o", j.alias("jaccard"))), members.select("id", "klasse", "n", "size")
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float, min_size: int) -> DataFrame:
+    """(a, b, o, jaccard) with a < b of sets(id, token), a row a member: pairs of sets that have threshold in common. Pairs of
+    classes (see jaccard_classes) are expanded to their members last, and not shuffled after."""
+    pairs, members = jaccard_classes(sets, threshold, min_size)
+    x, y = (members.select(F.col("klasse").alias(k), F.col("id").alias(i)) for k, i in (("a", "x"), ("b", "y")))
+    different = salted_join(salted_join(pairs, x, ["a"], both=True), y, ["b"], both=True).select("x", "y", "o", "jaccard")
+    many = members.filter("n > 1").select("klasse", F.col("id").alias("x"), F.col("size").alias("o"), F.lit(1.0).alias("jaccard"))
+    alike = salted_join(many, many.select("klasse", F.col("x").alias("y")), ["klasse"], COPIES, both=True).filter("x < y").select("x", "y", "o", "jaccard")
+    return different.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "o", "jaccard")
 
 
 def match_in_waves(left: DataFrame, right: DataFrame, lid: str, rid: str, waves: Sequence[tuple[str, Sequence[str]]]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -135,7 +135,7 @@ def jaccard_pairs(s: SparkSession, d: str) -> DataFrame:
 
 def _name_sets(s: SparkSession, d: str) -> DataFrame:
     f = table(s, d, "data_field", "form_id", "name", "geloescht_am").filter("geloescht_am is null and trim(name) <> ''")
-    return f.select(F.col("form_id").alias("id"), F.lower(F.trim("name")).alias("token")).distinct()
+    return f.select(F.col("form_id").alias("id"), F.lower(F.trim("name")).alias("token"))
 
 
 @query(
