@@ -211,6 +211,21 @@ def jaccard_pairs(sets: DataFrame, threshold: float, min_size: int) -> DataFrame
     return different.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "o", "jaccard")
 
 
+def best_partners(sets: DataFrame, threshold: float, min_size: int) -> DataFrame:
+    """(id, partner, jaccard): each set's best partner in jaccard_pairs(), of equally good ones the smallest.
+
+    Nothing is as good as an equal set, so pairs are not expanded: a set of a class of several goes to the smallest other
+    one of its class, any other to the smallest one of the best class.
+    """
+    pairs, members = jaccard_classes(sets, threshold, min_size)
+    best = symmetric(pairs.select("a", "b", "jaccard"), "a", "b").groupBy("a").agg(F.min(F.struct((-F.col("jaccard")).alias("minus"), "b")).alias("x"))
+    single = members.filter("n = 1").join(best.withColumnRenamed("a", "id"), "id").select("id", F.col("x.b").alias("partner"), (-F.col("x.minus")).alias("jaccard"))
+    many = members.filter("n > 1")
+    second = many.filter("id <> klasse").groupBy("klasse").agg(F.min("id").alias("second"))
+    equal = skew_join(many, second, ["klasse"]).select("id", F.when(F.col("id") == F.col("klasse"), F.col("second")).otherwise(F.col("klasse")).alias("partner"), F.lit(1.0).alias("jaccard"))
+    return single.unionByName(equal)
+
+
 def match_in_waves(left: DataFrame, right: DataFrame, lid: str, rid: str, waves: Sequence[tuple[str, Sequence[str]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matched(lid, rid, wave), left without a partner, right without a partner).
 

@@ -144,10 +144,8 @@ def _name_sets(s: SparkSession, d: str) -> DataFrame:
 SELECT a AS id, b AS partner, j AS jaccard FROM b QUALIFY row_number() OVER (PARTITION BY a ORDER BY j DESC, b) = 1"""
 )
 def best_match(s: SparkSession, d: str) -> DataFrame:
-    """Each form's best partner, of equally good ones the smallest: pairs expanded to both ends, best by aggregation."""
-    both = R.symmetric(R.jaccard_pairs(_name_sets(s, d), 0.35, 4).select("a", "b", "jaccard"), "a", "b")
-    best = both.groupBy("a").agg(F.min(F.struct((-F.col("jaccard")).alias("minus"), "b")).alias("x"))
-    return best.select(F.col("a").alias("id"), F.col("x.b").alias("partner"), (-F.col("x.minus")).alias("jaccard"))
+    """Each form's best partner, of equally good ones the smallest."""
+    return R.best_partners(_name_sets(s, d), 0.35, 4)
 
 
 @query("""WITH r(event_type, must, must_not, lvl) AS (VALUES ('purchase', '"k": [0-9]$|"k": [0-9][^0-9]', NULL, 3), ('purchase', '"k"', '"k": 7', 1), ('view', '"k": 1', '"k": 1[0-4]', 2), ('signup', '.', NULL, 1))
