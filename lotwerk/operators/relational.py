@@ -226,6 +226,21 @@ def best_partners(sets: DataFrame, threshold: float, min_size: int) -> DataFrame
     return single.unionByName(equal)
 
 
+def greedy_sets(sets: DataFrame, threshold: float, min_size: int) -> DataFrame:
+    """(a, b, jaccard): greedy_one_to_one() of jaccard_pairs(), without expanding them.
+
+    Pairs of equal sets come first: they leave each id of a class with the next one. As left only a class's last id is free
+    then, as right only its first, so a pair of classes is one pair of ids at most either way.
+    """
+    pairs, members = jaccard_classes(sets, threshold, min_size)
+    following = F.lead("id").over(Window.partitionBy("klasse").orderBy("id"))
+    chain = members.filter("n > 1").select(F.col("id").alias("a"), following.alias("b"), F.lit(1.0).alias("jaccard")).filter("b is not null")
+    last = members.groupBy("klasse").agg(F.max("id").alias("last"))
+    ends = symmetric(pairs.select("a", "b", "jaccard"), "a", "b").join(last.withColumnRenamed("klasse", "a"), "a")
+    free = ends.filter("last < b").select(F.col("last").alias("a"), "b", "jaccard")
+    return chain.unionByName(greedy_one_to_one(free, "a", "b", "jaccard"))
+
+
 def match_in_waves(left: DataFrame, right: DataFrame, lid: str, rid: str, waves: Sequence[tuple[str, Sequence[str]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matched(lid, rid, wave), left without a partner, right without a partner).
 

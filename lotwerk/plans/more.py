@@ -59,7 +59,7 @@ def greedy_match(s: SparkSession, d: str) -> DataFrame:
     """Forms matched one to one by their name sets, the most alike first."""
     from lotwerk.plans.joins import _name_sets
 
-    return R.greedy_one_to_one(R.jaccard_pairs(_name_sets(s, d), 0.35, 4), "a", "b", "jaccard")
+    return R.greedy_sets(_name_sets(s, d), 0.35, 4)
 
 
 def follow_chains(links: DataFrame) -> DataFrame:

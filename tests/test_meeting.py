@@ -7,7 +7,7 @@ import pytest
 
 from lotwerk.operators import meeting as M
 from lotwerk.operators import relational as R
-from lotwerk.plans import joins
+from lotwerk.plans import joins, more
 
 
 def made(seed, n=160):
@@ -91,3 +91,22 @@ def test_best_of_copies_without_their_pairs(spark, tmp_path):
     best = {r.id: (r.partner, r.jaccard) for r in joins.best_match(spark, folder).collect()}
     assert best == {i: (0 if i else 1, 1.0) for i in range(2000)}
     assert shuffled(spark) - before < 1e6
+
+
+@CASES
+def test_greedy(spark, monkeypatch, seed, sim, least, small):
+    if small:
+        shrink(monkeypatch)
+    left, right, taken = set(), set(), set()
+    for (a, b), (_, j) in sorted(brute(made(seed), sim, least).items(), key=lambda x: (-x[1][1], x[0])):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            taken.add((a, b, j))
+    assert {tuple(r) for r in R.greedy_sets(frame(spark, made(seed)), sim, least).collect()} == taken
+
+
+def test_greedy_of_copies_without_their_pairs(spark, tmp_path):
+    folder, before = copies(spark, tmp_path), shuffled(spark)
+    assert {(r.a, r.b) for r in more.greedy_match(spark, folder).collect()} == {(i, i + 1) for i in range(1999)}
+    assert shuffled(spark) - before < 1e6
