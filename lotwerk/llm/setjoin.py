@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from math import ceil
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwerk.functions.text import norm_name
-from lotwerk.operators.skew import checked_join, salted_join, skew_join
-from lotwerk.session import cut
+from lotwerk.operators import meeting
+from lotwerk.operators.skew import salted_join, skew_join
+from lotwerk.session import cut, release
 from lotwerk.sources.tables import table
 
 #: Of so many representatives one is drawn as a pivot, by its hash.
 PIVOT_EVERY = 8
-#: Tokens up to which a set meets others on pairs of tokens.
+#: Not read any more: sets of any size meet as meeting.py has it. Tests set it.
 PAIRS_TO = 48
 #: Copies of a set from which their pairs are given by several tasks.
 COPIES = 2_000
@@ -23,54 +22,19 @@ EPS = 1e-9
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
-    """rows(space, id, tok long) as (space, id, tokens): a record's distinct tokens, rarest first, ties by token."""
-    member = cut(rows.filter("id is not null and tok is not null").select("space", "id", "tok").distinct())
-    frequency = member.groupBy("space", "tok").agg(F.count("*").alias("df"))
-    ranked = checked_join(member, frequency, ["space", "tok"])
-    return ranked.groupBy("space", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("tokens"))
-
-
-def _overlap_at_least(size: Column, sim: Column | float) -> Column:
-    return F.ceil(size * sim - EPS).cast("int")
+    """rows(space, id, tok long) as (space, id, tokens): a record's distinct tokens."""
+    member = rows.filter("id is not null and tok is not null")
+    return member.groupBy("space", "id").agg(F.sort_array(F.collect_set("tok")).alias("tokens"))
 
 
-def _keys(tokens: Column, sim: Column | float, least: float, pairs: bool) -> Column:
-    """The keys on which a set meets every set of similarity sim or more, both made for sims of least or more.
-
-    Two sets of overlap o >= ceil(sim * size) have their first k common tokens in the first size - ceil(sim * size) + k
-    tokens of either. With pairs, sets of PAIRS_TO tokens or fewer meet on pairs of tokens, which rarely meet by chance;
-    the pairs of larger sets would be too many, so these meet on single tokens, and so does, besides, what is large
-    enough to be similar to one of them.
-    """
-    size = F.size(tokens)
-    head = lambda k: F.slice(tokens, 1, F.least(size, size - _overlap_at_least(size, sim) + k))
-    single = F.transform(head(1), lambda a: F.xxhash64(a))
-    if not pairs:
-        return single
-    two = F.transform(head(2), lambda a, i: F.transform(F.slice(head(2), i + 2, size), lambda b: F.xxhash64(a, b)))
-    none = F.array().cast("array<bigint>")
-    return F.concat(F.when(size <= PAIRS_TO, F.flatten(two)).otherwise(none), F.when(size > PAIRS_TO * least, single).otherwise(none))
-
-
-def near_pivots(sets: DataFrame, pivots: DataFrame, least: float, min_size: int) -> DataFrame:
-    """Every (space, y, p, d): a set of sets(space, id, tokens) and a pivot of pivots(space, id, tokens, sim) whose Jaccard
-    similarity is sim at least, and their distance. least is the smallest sim of any pivot.
-
-    They meet on keys (see _keys), each pair once, and what meets is verified. A pivot that very many sets met is split.
-    """
-    pairs = ceil(least * min_size - EPS) >= 2
-    # only ids, sizes and keys are shuffled for the meeting; the tokens join what has met, each pair once
-    left = sets.select("space", F.col("id").alias("y"), F.size("tokens").alias("ny"), F.explode(_keys(F.col("tokens"), least, least, pairs)).alias("key"))
-    right = pivots.select("space", F.col("id").alias("p"), F.size("tokens").alias("np"), "sim", F.explode(_keys(F.col("tokens"), F.col("sim"), least, pairs)).alias("key"))
-    met = salted_join(left, right, ["space", "key"]).filter(F.least("ny", "np") >= F.greatest("ny", "np") * F.col("sim") - EPS)
-    met = met.groupBy("space", "y", "p").agg(F.first("sim").alias("sim"))
-    met = cut(met)
-    both = skew_join(met, pivots.select("space", F.col("id").alias("p"), F.col("tokens").alias("ptok")), ["space", "p"])
-    both = both.join(sets.select("space", F.col("id").alias("y"), F.col("tokens").alias("ytok")), ["space", "y"])
-    o, whole = F.size(F.array_intersect("ytok", "ptok")), F.size("ytok") + F.size("ptok")
-    both = both.select("space", "y", "p", "sim", o.alias("o"), whole.alias("whole"))
-    verified = F.col("o") >= (F.col("whole") - F.col("o")) * F.col("sim") - EPS
-    return both.filter(verified).select("space", "y", "p", (1 - F.col("o") / (F.col("whole") - F.col("o"))).alias("d"))
+def near_pivots(sets: DataFrame, sim: float, min_size: int) -> DataFrame:
+    """Every (space, y, p, d): a set and a pivot of sets(space, id, tokens, pivot), pivot telling which are pivots, whose Jaccard
+    similarity is sim at least, and their distance; a pivot is near itself. They meet once, by meeting.similar_sets."""
+    met = meeting.similar_sets(sets, sim, min_size)
+    d = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
+    ends = F.array(F.struct(F.col("a").alias("y"), F.col("b").alias("p"), F.col("pb").alias("is")), F.struct(F.col("b").alias("y"), F.col("a").alias("p"), F.col("pa").alias("is")))
+    near = met.select("space", F.explode(ends).alias("e"), d.alias("d")).filter("e.is").select("space", "e.y", "e.p", "d")
+    return near.unionByName(sets.filter("pivot").select("space", F.col("id").alias("y"), F.col("id").alias("p"), F.lit(0.0).alias("d")))
 
 
 def similar_sets(sets: DataFrame, threshold: float, min_size: int, pivot_every: int = PIVOT_EVERY) -> DataFrame:
@@ -91,15 +55,17 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int, pivot_every:
     and not all pairs of a group. No cap on cells, replicas or partners.
     """
     r = 1 - threshold
-    drawn = cut(sets.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(pivot_every)) == 0).withColumn("sim", F.lit(1 - r / 2)))
+    drawn = cut(sets.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(pivot_every)) == 0).withColumn("pivot", F.lit(True)))
     order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(29)), F.col(c))
-    beaten = near_pivots(drawn.drop("sim"), drawn, 1 - r / 2, min_size).filter(order("p") < order("y")).select("space", F.col("y").alias("id")).distinct()
-    pivots = drawn.join(beaten, ["space", "id"], "left_anti").withColumn("sim", F.lit(1 - 1.5 * r))
-    close = cut(near_pivots(sets, pivots, 1 - 1.5 * r, min_size))
-    home = cut(
-        close.filter(F.col("d") <= r / 2 + EPS).groupBy("space", "y").agg(F.min(F.struct("d", "p")).alias("h")).select("space", "y", F.col("h.p").alias("home"), F.col("h.d").alias("hd"))
-    )
-    radius = home.groupBy("space", F.col("home").alias("p")).agg(F.max("hd").alias("radius"), F.count("*").alias("n"))
+    beaten = near_pivots(drawn, 1 - r / 2, min_size).filter(order("p") < order("y")).select("space", F.col("y").alias("id")).distinct()
+    pivots = drawn.join(beaten, ["space", "id"], "left_anti").select("space", "id", "pivot")
+    marked = cut(sets.join(pivots, ["space", "id"], "left").select("space", "id", "tokens", F.coalesce("pivot", F.lit(False)).alias("pivot")))
+    release(sets.sparkSession)
+    close = cut(near_pivots(marked, 1 - 1.5 * r, min_size))
+    release(sets.sparkSession)
+    home = close.filter(F.col("d") <= r / 2 + EPS).groupBy("space", "y").agg(F.min("d").alias("hd"), F.min_by("p", F.struct("d", "p")).alias("home"))
+    home = cut(home.select("space", "y", "home", "hd"))
+    radius = home.groupBy("space", F.col("home").alias("p")).agg(F.max("hd").alias("radius"))
     within = skew_join(close, radius, ["space", "p"]).filter(F.col("d") <= F.col("radius") + r + EPS)
     within = within.join(home.select("space", "y", "home"), ["space", "y"], "left").select("space", "p", "y", "d", F.coalesce("home", "y").alias("home"))
     # only what stays in a cell carries its tokens on
@@ -108,26 +74,15 @@ def similar_sets(sets: DataFrame, threshold: float, min_size: int, pivot_every:
     cell = salted_join(within, members, ["space", "p"], 20_000)
     cell = cell.filter((((F.col("home") == F.col("p")) & (F.col("x") < F.col("y"))) | (F.col("home") > F.col("p"))) & (F.abs(F.col("d") - F.col("xd")) <= r + EPS))
     o = F.size(F.array_intersect("xtok", "ytok"))
-    cell = cell.filter(o >= (F.size("xtok") + F.size("ytok") - o) * threshold - EPS).select("space", "x", "y")
-    housed = sets.join(home.select("space", F.col("y").alias("id"), "home"), ["space", "id"], "left")
-    alone = housed.filter("home is null").select("space", "id", "tokens", F.lit(threshold).alias("sim"))
-    own = near_pivots(sets, alone, threshold, min_size).select("space", "y", "p").filter("y <> p")
+    cell = cut(cell.filter(o >= (F.size("xtok") + F.size("ytok") - o) * threshold - EPS).select("space", "x", "y"))
+    release(sets.sparkSession)
+    housed = cut(sets.join(home.select("space", F.col("y").alias("id"), "home"), ["space", "id"], "left").select("space", "id", "tokens", F.col("home").isNull().alias("pivot")))
+    own = near_pivots(housed, threshold, min_size).select("space", "y", "p").filter("y <> p")
     own = own.join(home.select("space", "y", "home"), ["space", "y"], "left").filter(F.coalesce("home", "y") > F.col("p"))
     pairs = cell.unionByName(own.select("space", F.col("p").alias("x"), "y"))
     return pairs.select("space", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(representatives, members): sets(space, id, tokens) with equal tokens are one class, named by its smallest id."""
-    finger = F.sha2(F.concat_ws(",", F.transform("tokens", lambda t: t.cast("string"))), 256)
-    marked = sets.withColumn("finger", finger)
-    groups = marked.groupBy("space", "finger").agg(F.min("id").alias("klasse"), F.count("*").alias("n"))
-    members = skew_join(marked.select("space", "finger", "id"), groups, ["space", "finger"], weight="n").select("space", "id", "klasse")
-    members = cut(members)
-    representatives = sets.join(members.filter("id = klasse").select("space", "id"), ["space", "id"], "left_semi")
-    return cut(representatives), members
-
-
 def set_join(rows: DataFrame, threshold: float = 0.6, min_size: int = 4, pivot_every: int = PIVOT_EVERY) -> tuple[DataFrame, DataFrame]:
     """(pairs(space, a, b), members(space, id, klasse)) of rows(space, id, tok long).
 
@@ -135,9 +90,13 @@ def set_join(rows: DataFrame, threshold: float = 0.6, min_size: int = 4, pivot_e
     representatives of different sets. Null ids and tokens are left out, repeated rows count once, empty tables give
     no pairs. Tokens are 64-bit integers; of hashed texts two differ with a chance of 2**-64 of being taken for one.
     """
-    sets = sets_of(rows).filter(F.size("tokens") >= min_size)
-    representatives, members = classes_of(cut(sets))
-    return cut(similar_sets(representatives, threshold, min_size, pivot_every)), members
+    sets = cut(sets_of(rows).filter(F.size("tokens") >= min_size))
+    representatives, members = meeting.classes_of(sets)
+    members = members.select("space", "id", "klasse")
+    release(sets.sparkSession)
+    pairs = cut(similar_sets(representatives.select("space", "id", "tokens"), threshold, min_size, pivot_every))
+    release(sets.sparkSession)
+    return pairs, members
 
 
 def form_sets(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def drop(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have what nothing refers to any more collected: Spark deletes shuffle files and broadcasts when the driver's objects for
+    them are, and a driver with room left may not do so for long. For use between the large steps of one query."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that cut() wrote to the shared folder; for the end of a pipeline, when its results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lotwerk")

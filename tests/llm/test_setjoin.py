@@ -59,3 +59,19 @@ def test_hot_crowd_and_empty(spark, monkeypatch, split):
     assert {(r.space, r.a, r.b) for r in pairs.collect()} == want
     none, nobody = J.set_join(spark.createDataFrame([], ROW))
     assert none.count() == nobody.count() == 0
+
+
+def test_chance_meetings_are_not_shuffled(spark):
+    """1,500 sets of nine tokens of 25: most pairs share tokens, few are similar, and only these leave the tasks."""
+    rnd = random.Random(3)
+    rows = spark.createDataFrame([("s", i, x, "", 0) for i in range(1500) for x in rnd.sample(range(25), 9)], ROW)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        executors = store.executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = shuffled()
+    J.set_join(rows, 0.6, 4)[0].count()
+    assert shuffled() - before < 2e6
