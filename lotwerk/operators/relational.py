@@ -16,6 +16,8 @@ from lotwerk.session import cut, drop
 
 #: Copies of a set from which their pairs are given by several tasks.
 COPIES = 2_000
+#: Members of a class among which a known partner is looked up.
+BLOCK = 1_000
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
@@ -211,6 +213,38 @@ def jaccard_pairs(sets: DataFrame, threshold: float, min_size: int) -> DataFrame
     return different.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "o", "jaccard")
 
 
+def jaccard_pairs_with(sets: DataFrame, threshold: float, min_size: int, known: DataFrame) -> DataFrame:
+    """(a, b, known's columns) of jaccard_pairs(), left joined to known, which has one row a pair a < b at most.
+
+    The pairs are not shuffled for this: known's rows are brought to the pairs while these are half expanded, one row for
+    each set and similar class, the set's own included, and looked up as the other half is. Of a class with many members
+    BLOCK or so are a block of their own, so that no list of known partners is longer.
+    """
+    columns = [c for c in known.columns if c not in ("a", "b")]
+    pairs, members = jaccard_classes(sets, threshold, min_size)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.select("id", "klasse", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    known = cut(known)
+    placed = cut(skew_join(known, own.select(F.col("id").alias("a"), F.col("klasse").alias("ka"), F.col("block").alias("in_a")), ["a"]))
+    drop(known)
+    ends = skew_join(placed, own.select(F.col("id").alias("b"), F.col("klasse").alias("kb"), F.col("block").alias("in_b")), ["b"])
+    rising = F.col("ka") <= F.col("kb")  # x is of the smaller class, of one class the smaller id
+    x, y, block = (F.when(rising, F.col(p)).otherwise(F.col(q)).alias(c) for p, q, c in (("a", "b", "x"), ("b", "a", "y"), ("in_b", "in_a", "block")))
+    partners = F.collect_list(F.struct("y", F.struct(*columns).alias("row")))
+    seen = ends.select(x, y, F.greatest("ka", "kb").alias("klasse"), block, *columns).groupBy("x", "klasse", "block").agg(partners.alias("seen"))
+
+    others = salted_join(pairs.select("a", "b"), members.select(F.col("klasse").alias("a"), F.col("id").alias("x")), ["a"], both=True)
+    half = others.select("x", F.col("b").alias("klasse"), F.lit(False).alias("alike"))
+    half = half.unionByName(members.filter("n > 1").select(F.col("id").alias("x"), "klasse", F.lit(True).alias("alike")))
+    large = F.broadcast(members.filter((F.col("id") == F.col("klasse")) & (F.col("n") > BLOCK)).select("klasse", blocks.alias("blocks")))
+    half = half.join(large, "klasse", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    half = cut(half.join(seen, ["x", "klasse", "block"], "left"))
+    drop(placed)
+    out = salted_join(half, own.withColumnRenamed("id", "y"), ["klasse", "block"], COPIES).filter("not alike or x < y")
+    row = F.get("seen.row", (F.array_position("seen.y", F.col("y")) - 1).cast("int"))
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), row.alias("row")).select("a", "b", *(F.col(f"row.{c}").alias(c) for c in columns))
+
+
 def best_partners(sets: DataFrame, threshold: float, min_size: int) -> DataFrame:
     """(id, partner, jaccard): each set's best partner in jaccard_pairs(), of equally good ones the smallest.
 
